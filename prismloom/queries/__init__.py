@@ -2,7 +2,8 @@
 
 
 def registries() -> list:
+    from .core import core
     from .general import general
+    from .pipelines import pipelines
 
-    found = [general]
-    return found
+    return [core, pipelines, general]
