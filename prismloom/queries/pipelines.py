@@ -177,10 +177,10 @@ def logprob_judge(spark, d):
     return _events(spark, d).select("event_id", F.round(scores.probability_of_one(entries), 6).alias("p_one"), scores.predicted_digit(content).alias("predicted"))
 
 
-@q("running_stats", "select user_id, event_id, round(median(value) over w, 6) as median, round(avg(value) over w, 6) as avg, max(value) over w as max, round(avg(value) over (partition by user_id order by event_id), 6) as global_avg from events window w as (partition by user_id order by event_id rows between 19 preceding and current row)", "AGG-25")
+@q("running_stats", "select user_id, event_id, round(median(value) over w, 9) as median, round(avg(value) over w, 9) as avg, max(value) over w as max, round(avg(value) over (partition by user_id order by event_id), 9) as global_avg from events window w as (partition by user_id order by event_id rows between 19 preceding and current row)", "AGG-25")
 def running_stats(spark, d):
     out = scores.running_stats(_events(spark, d), "user_id", ["event_id"], "value")
-    return out.select("user_id", "event_id", F.round("median", 6).alias("median"), F.round("avg", 6).alias("avg"), "max", F.round("global_avg", 6).alias("global_avg"))
+    return out.select("user_id", "event_id", F.round("median", 9).alias("median"), F.round("avg", 9).alias("avg"), "max", F.round("global_avg", 9).alias("global_avg"))
 
 
 # -- vectors ------------------------------------------------------------------------
