@@ -39,7 +39,8 @@ def unfence_lines(col: Column) -> Column:
 
 
 def _clamped(value: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(10), value))
+    # greatest and least skip nulls, so a null must be kept apart
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(10), value)))
 
 
 def score_and_reason(col: Column) -> Column:
@@ -58,7 +59,7 @@ def float_score(col: Column) -> Column:
     """Number before the first ``@``, within 0..10; null where it is no finite number."""
     head = strip(F.substring_index(col, "@", 1))
     number = F.when(head.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), head.try_cast("double"))
-    return F.when(col.contains("@"), F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)))
+    return F.when(col.contains("@") & number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)))
 
 
 def label_pair(col: Column) -> Column:

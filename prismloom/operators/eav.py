@@ -146,7 +146,9 @@ class WideTable:
 
     def merged(self) -> DataFrame:
         """Latest version of each cell over all runs."""
-        parts = [self.spark.read.parquet(r) for r in self.runs]
+        cell = "struct<ver:bigint,id:binary,num:double,txt:string>"
+        schema = ", ".join(["entity binary", *[f"{c} {cell}" for c in self._columns()]])  # a run may be empty
+        parts = [self.spark.read.schema(schema).parquet(r).select("entity", *self._columns()) for r in self.runs]
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
