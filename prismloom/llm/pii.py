@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.balance import spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # --- fixed values -----------------------------------------------------------------
@@ -51,6 +53,10 @@ _REWRITE = re.compile(
     r"|(?P<han>[零〇一二三四五六七八九幺]{7,})",
     re.I,
 )
+#: Cheap signs that a text may hold a disguise; without one the transducer is skipped.
+_DISGUISED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|点|艾特)\s*[\])}>]|[零〇一二三四五六七八九幺]{7}", re.I)
+_DOT_WORD = re.compile(r" dot ", re.I)
+_DIGIT_RUN = re.compile(rf"\b(?:{_WORD})[\s,-]+(?:{_WORD})[\s,-]+(?:{_WORD})")
 
 
 def _spell(text: str) -> str:
@@ -77,7 +83,8 @@ class Aligned:
             text = "".join(text[i] for i in kept)
         # anchors: (position in the result, position before rewriting, width before, is rewritten)
         pieces, anchors, pos, done = [], [(0, 0, 1, False)], 0, 0
-        for m in _REWRITE.finditer(text):
+        disguised = _DISGUISED.search(text) or _DOT_WORD.search(text) or _DIGIT_RUN.search(text.lower())
+        for m in _REWRITE.finditer(text) if disguised else ():
             plain = text[done : m.start()]
             pieces.append(plain)
             pos += len(plain)
@@ -158,6 +165,7 @@ _ALLCAPS = rf"[{_UP}ß]{{2,}}(?:-[{_UP}ß]{{2,}})?"
 _NAME = re.compile(
     rf"(?<![A-Za-z0-9_@.-])(?:(?:{_CAP}|{_INITIAL}) ?(?:{_INITIAL} ?){{0,2}}(?<=[ .]){_FAMILY}|[{_UP}]{{2,}} (?:{_INITIAL} ){{0,2}}{_ALLCAPS}|{_INITIAL} ?{_ALLCAPS}|{_FAMILY}, (?:{_CAP}|{_INITIAL})(?: {_INITIAL})?|{_ALLCAPS}, [{_UP}]{{2,}})(?![A-Za-z0-9_@])"
 )
+_DIGIT, _HAN_CHAR = re.compile(r"\d"), re.compile(f"[{_HAN}]")
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Mx|Dr|Prof|Professor|Sir|Madam)\.? )?"
 _BEFORE = re.compile(
     r"(?:\b(?:by|for|from|From|contact|Contact|Dear|Hello|Hi|Signed|[Rr]eviewer|[Aa]nnotator|[Aa]uthor|[Pp]hotographer|[Ss]itter|[Hh]older|[Oo]wner|reads|goes to|to|Ask|ask|[Pp]ortrait of|(?:him|her|them|it)sel(?:f|ves) as|[Oo]ld entry|[Nn]ame|[Rr]ecipient|[Aa]ttn|named|sincerely|regards|cc)[,:]?[ \n]+"
@@ -234,8 +242,7 @@ def detect(source: str | None) -> list[tuple[str, int, int]]:
             found = _cut_domain(m[0])
             if found.rpartition(".")[2].lower() not in FILE_ENDINGS:
                 taken.append((m.start(), m.start() + len(found), "email"))
-    has_digit = any(c.isdigit() for c in text)
-    if has_digit:
+    if _DIGIT.search(text):
         for m in _IDS.finditer(text):
             before = text[max(0, m.start() - 32) : m.start()]
             start, end = m.span()
@@ -280,7 +287,7 @@ def detect(source: str | None) -> list[tuple[str, int, int]]:
             # a rejected pair may hide a name that starts at its second word
             step = re.compile(r"[ ,]+|-").search(text, start, end)
             pos = step.end() if step else end
-    if any("一" <= c <= "鿿" for c in text):
+    if _HAN_CHAR.search(text):
         for pattern in _HAN_PERSON:
             pos = 0
             while m := pattern.search(text, pos):
@@ -321,7 +328,8 @@ def find_pii(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
             rows = [(k, *span) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for span in detect(t)]
             yield pd.DataFrame(rows, columns=["k", "pii_type", "start_pos", "end_pos"])
 
-    found = documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(run, f"k {kind}, pii_type string, start_pos int, end_pos int")
+    rows = spread(documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")))
+    found = rows.mapInPandas(run, f"k {kind}, pii_type string, start_pos int, end_pos int")
     return found.withColumnRenamed("k", key)
 
 

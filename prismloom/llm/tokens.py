@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.balance import spread
+
 #: Folder of the vocabulary files; a parameter of every operator that counts tokens.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -36,4 +38,5 @@ def count_tokens(documents: DataFrame, text: str = "text", out: str = "n_tokens"
         for texts in batches:
             yield texts.map(lambda t: len(encode(t)) if t else 0).astype("int32")
 
-    return documents.select(*[F.col(f"`{c}`") for c in keep], size(F.col(f"`{text}`")).alias(out))
+    rows = spread(documents.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, text))]))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], size(F.col(f"`{text}`")).alias(out))
