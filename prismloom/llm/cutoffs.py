@@ -114,6 +114,8 @@ class ShareCutoffs:
 
     def kept(self, found: list[dict] | None = None) -> DataFrame:
         """(source, score_name, key): the rows at or above their source's cutoff."""
+        if not self.targets:
+            return self.rows.select("source", F.lit("").alias("score_name"), self.key).limit(0)
         cuts = [(g, f["cutoff"]) for g, f in enumerate(self.find() if found is None else found) if f["cutoff"] is not None]
         table = F.broadcast(self.spark.createDataFrame(cuts, "gid int, cutoff double"))
         return self._scores(self.key).join(table, "gid").filter("score >= cutoff").select("source", "score_name", self.key)
