@@ -159,7 +159,7 @@ def latest_export(rows: DataFrame, key: str = "sequence_id", version: str = "cre
     prune within each map task first, so a hot key never reaches one reducer whole."""
     from pyspark.sql import Window
 
-    payload = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`") for f in rows.schema.fields])
+    payload = F.xxhash64(*[F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in rows.schema.fields])
     order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.col("__h").desc())
     return rows.withColumn("__h", payload).withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__h")
 
