@@ -174,16 +174,17 @@ _BEFORE = re.compile(
 )
 _AFTER = re.compile(r"['’]s (?:mask|caption|picture|label|photo|portrait|address|note)|[\"”'] ?<| (?:said|says|wrote|writes|reports|reported|replied|asked|lives|agreed|signed)\b| ?\((?:\+|\(?\d)")
 _JOIN = re.compile(r"^(?: ?\([^()\n]{5,30}\))?,? (?:and|or) $|^ ?\([^()\n]{5,30}\)(?:和|与|或)$")
-_STOP = {"The", "See", "Figure", "Table", "Appendix", "Style", "Flat", "Unit", "Apt", "Box", "This", "That", "Phone", "Bill", "Questions", "Reply", "Send", "Deliver", "Please", "Winter", "North", "South", "East", "West"}
+_STOP = {"The", "See", "Figure", "Table", "Appendix", "Style", "Flat", "Unit", "Apt", "Box", "This", "That", "Phone", "Bill", "Questions", "Reply", "Send", "Deliver", "Please", "Winter", "North", "South", "East", "West", "Ask", "Annotator", "Dear", "Signed", "Portrait", "Reviewed", "Reviewer", "Collected", "Contact", "Old", "My", "Mask", "Payment", "Whoever", "Call", "Photo", "Photographer", "Sitter", "Owner", "Holder", "Author", "Hello", "Hi", "Thanks", "Regards", "Sincerely"}
 _HAN_WHO = rf"(?P<who>(?:{'|'.join(COMPOUND_SURNAMES)})[{_HAN}]{{1,2}}?|[{SURNAMES}][{_HAN}]{{1,2}}?)"
 _HAN_LEFT = (
-    r"(?:(?:姓名|收件人|寄件人|联系人|标注员|审核员|摄影师|申请人|持有人|持证人|被摄者|作者|署名|签名|签字|由|写着|致|亲爱的|尊敬的)[:：“\" \n]{0,2}"
+    r"(?:(?:姓名|收件人|寄件人|联系人|标注员|审核员|审核|复核|校对|标注|拍摄|撰写|翻译|负责人|摄影师|摄影|申请人|持有人|持证人|被摄者|当事人|作者|署名|签名|签字|由|听|据|写着|致|亲爱的|尊敬的)[:：“\" \n]{0,2}"
     r"|[，,、](?=[^，。]{2,4}收[。.,，])"
     r"|(?:by|for|from|From|contact|Dear|Signed:|[Rr]eviewer:|Annotator|sitter,|holder|reads|goes to|to:|Ask|or|and|Portrait of|self as|entry:)[ \n]"
     r"|[\"“'](?:annotator|name|owner|author|reviewer)[\"”']: ?[\"“']|(?:owner|name|annotator|author|reviewer)=[\"“']?)"
 )
 _HAN_RIGHT = r"(?=收[。.,，]|反馈|修改|选出|负责|拍摄|提交|说|的遮罩|先生|女士|老师|同意|审核|确认|和|与|、|[，,。.;；:：（(）)”\"<'\n ]|$)"
 _HAN_STRONG = r"(?= ?[（(][+＋(\d]|反馈|负责|说|的遮罩|先生|女士| said| reports|'s mask|[\"”] ?<)"
+_HAN_NEXT = re.compile(rf"[、和与及]{_HAN_WHO}{_HAN_RIGHT}")
 _HAN_PERSON = (re.compile(f"{_HAN_LEFT}{_HAN_WHO}{_HAN_RIGHT}"), re.compile(rf"(?:^|[。\n;；，“\"!！ .]){_HAN_WHO}{_HAN_STRONG}", re.M))
 
 
@@ -295,6 +296,10 @@ def detect(source: str | None) -> list[tuple[str, int, int]]:
                 if _free(taken, start, end):
                     taken.append((start, end, "name"))
                     pos = end
+                    # further names of a list
+                    while (more := _HAN_NEXT.match(text, pos)) and _free(taken, *more.span("who")):
+                        taken.append((*more.span("who"), "name"))
+                        pos = more.end("who")
                 else:
                     pos = max(m.start() + 1, start)
     out = []
