@@ -25,4 +25,6 @@ def nearest_resolution(rows: DataFrame, candidates: tuple[tuple[int, int], ...]
 def fit_long_side(width: Column, height: Column, longest: int) -> tuple[Column, Column]:
     """Size scaled down so that the long side is at most ``longest``; smaller images stay."""
     scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
-    return F.greatest(F.lit(1), F.round(width * scale).cast("int")), F.greatest(F.lit(1), F.round(height * scale).cast("int"))
+    known = width.isNotNull() & height.isNotNull()
+    side = lambda v: F.when(known, F.greatest(F.lit(1), F.round(v * scale).cast("int")))
+    return side(width), side(height)

@@ -37,7 +37,7 @@ def cosine_or_zero(a: Column, b: Column) -> Column:
 
 def to_unit(v: Column) -> Column:
     """[-1, 1] to [0, 1], clamped."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v + 1) / 2))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v + 1) / 2)))
 
 
 def l2_similarity(a: Column, b: Column) -> Column:
@@ -77,7 +77,8 @@ def mean_pool(tokens: Column, width: int) -> Column:
 
 
 def sigmoid(x: Column, bound: float = 60.0) -> Column:
-    return 1 / (1 + F.exp(F.least(F.lit(bound), F.greatest(F.lit(-bound), -x))))
+    # greatest and least skip nulls, so a null must be kept apart
+    return F.when(x.isNotNull(), 1 / (1 + F.exp(F.least(F.lit(bound), F.greatest(F.lit(-bound), -x)))))
 
 
 def binary_softmax(log_one: Column, log_zero: Column) -> Column:

@@ -57,15 +57,14 @@ def balanced_pairs(contents: DataFrame, styles: DataFrame, prompts: DataFrame, r
     n_content = contents.count()
     if n_content == 0 or styles.isEmpty():
         return spark.createDataFrame([], "pair string, content string, style string, prompt string, round int")
-    turns = F.broadcast(spark.range(rounds).select(F.col("id").cast("int").alias("round")))
     n_style = styles.count()
-    draws = styles.crossJoin(turns)
+    draws = styles.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     place = F.row_number().over(Window.partitionBy("round").orderBy(stable_key(F.concat_ws(":", "round", "style"), seed), "style"))
     draws = draws.withColumn("turn", F.col("round").cast("long") * n_style + place - 1)
     draws = draws.withColumn("cycle", F.floor(F.col("turn") / n_content)).withColumn("slot", F.col("turn") % n_content)
-    cycles = F.broadcast(spark.range(-(-rounds * n_style // n_content)).select(F.col("id").alias("cycle")))
+    cycles = F.explode(F.sequence(F.lit(0), F.lit(-(-rounds * n_style // n_content) - 1)))
     order = F.row_number().over(Window.partitionBy("cycle").orderBy(stable_key(F.concat_ws(":", "cycle", "content"), seed + 1), "content"))
-    pool = contents.crossJoin(cycles).withColumn("slot", order - 1)
+    pool = contents.withColumn("cycle", cycles).withColumn("cycle", F.col("cycle").cast("long")).withColumn("slot", order - 1)
     left = prompts if used is None else prompts.join(used, ["content", "prompt"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("content").orderBy("prompt")) - 1
     lists = left.select("content", "prompt", nth.alias("cycle"))

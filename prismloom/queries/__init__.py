@@ -3,7 +3,8 @@
 
 def registries() -> list:
     from .core import core
+    from .extras import extras
     from .general import general
     from .pipelines import pipelines
 
-    return [core, pipelines, general]
+    return [core, pipelines, extras, general]
