@@ -42,6 +42,7 @@ PAIR = "a0 long, a1 long, a2 long, a3 long, b0 long, b1 long, b2 long, b3 long,
 #: Neighbouring bytes that a probe visits: the same, then one bit away.
 FLIPS = np.array([0, 1, 2, 4, 8, 16, 32, 64, 128], np.int64)
 CHUNK = 2_000_000
+SLOTS = 32 * 65536
 
 
 def words(col: Column) -> list[Column]:
@@ -151,10 +152,28 @@ class DedupIndex:
         self.has_cells = self.has_files = False
 
     # -- cells -----------------------------------------------------------------------
-    def _cells(self, vectors: DataFrame) -> DataFrame:
-        """(cell, h0..h3): 32 rows per vector, cell without block."""
-        cells = F.array(*[(F.lit(p * 256) + byte_of(p)) for p in range(32)])
-        return vectors.select(*WORDS, F.explode(cells).alias("cell"))
+    def _cells(self, vectors: DataFrame, side: bool = False) -> DataFrame:
+        """(cell, h0..h3): 32 rows per vector, cell without block; on request also ``slot``, the
+        cell and the value of its neighbouring byte (2 million slots in all)."""
+        slots = F.explode(F.array(*[(F.lit(p * 65536) + byte_of(p) * 256 + byte_of(p ^ 1)) for p in range(32)]))
+        if side:
+            return vectors.select(*WORDS, slots.alias("slot")).withColumn("cell", F.shiftright("slot", 8))
+        return vectors.select(*WORDS, F.explode(F.array(*[(F.lit(p * 256) + byte_of(p)) for p in range(32)])).alias("cell"))
+
+    def _worth_reading(self, vectors: DataFrame) -> DataFrame:
+        """Stored postings that a small batch can meet at all: those in a slot that one of its
+        probes visits. The visited slots are a bit map of at most 256 kB, tested in the JVM, so
+        only what is probed leaves the scan. A batch that visits most slots reads all."""
+        stored = self.spark.table(self.cells_table)
+        if vectors.count() * 32 * len(FLIPS) > SLOTS // 2:
+            return stored
+        near = F.explode(F.array(*[F.lit(int(f)) for f in FLIPS]))
+        visited = self._cells(vectors, side=True).select("slot", near.alias("flip")).withColumn("slot", F.col("slot").bitwiseXOR(F.col("flip")))
+        bits = F.expr("bit_or(shiftleft(1L, slot & 63))")
+        found = {r.w: r.b for r in visited.groupBy(F.shiftright("slot", 6).alias("w")).agg(bits.alias("b")).collect()}  # at most SLOTS / 64 rows
+        bitmap = self.spark.createDataFrame([([found.get(w, 0) for w in range(SLOTS // 64)],)], "bitmap array<long>")
+        hit = F.expr("shiftrightunsigned(element_at(bitmap, shiftright(slot, 6) + 1), slot & 63) & 1L") == 1
+        return stored.crossJoin(F.broadcast(bitmap)).filter(hit).drop("bitmap")
 
     def _blocks(self, loads: np.ndarray) -> dict[int, int]:
         """Cells over ``split`` and their number of blocks; at most all 8192 cells."""
@@ -173,7 +192,7 @@ class DedupIndex:
             cells = cells.withColumn("block", F.lit(0)).withColumn("is_stored", F.lit(True))
         # "part" is a plain bucket number, so a group of the co-grouped join is one bucket, never one hot cell
         cell = (F.col("block") * 8192 + F.col("cell")).cast("long")
-        spread = cells.select(cell.alias("cell"), *WORDS, "is_stored")
+        spread = cells.select(cell.alias("cell"), *WORDS, "is_stored", *[c for c in ("slot",) if c in cells.columns])
         return spread.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(self.buckets)).cast("int"))
 
     def _loads_of(self, vectors: DataFrame) -> np.ndarray:
@@ -189,7 +208,7 @@ class DedupIndex:
         blocks = self._blocks(self.loads + loads)
         new = self._spread(self._cells(vectors), blocks, query=True).withColumn("is_query", F.lit(True))
         if self.has_cells:
-            grouped = new.groupBy("part").cogroup(self.spark.table(self.cells_table).groupBy("part"))
+            grouped = new.groupBy("part").cogroup(self._worth_reading(vectors).select("part", "cell", *WORDS).groupBy("part"))
             return grouped.applyInPandas(match_cells, PAIR)
         empty = pd.DataFrame({"cell": np.zeros(0, np.int64), **{w: np.zeros(0, np.int64) for w in WORDS}})
         return new.repartition(self.buckets, "part").groupBy("part").applyInPandas(lambda group: match_cells(group, empty), PAIR)
@@ -199,7 +218,7 @@ class DedupIndex:
         vectors = accepted.filter("h0 is not null").select(*WORDS).distinct()
         vectors = self.space.keep(vectors, "vectors")
         self.loads += self._loads_of(vectors)
-        spread = self._spread(self._cells(vectors), self._blocks(self.loads), query=False).select("part", "cell", *WORDS)
+        spread = self._spread(self._cells(vectors, side=True), self._blocks(self.loads), query=False).select("part", "cell", "slot", *WORDS)
         self._write(spread.repartition(self.buckets, "part"), self.cells_table, "part")
         files = accepted.filter("f is not null").select("f").distinct()
         self._write(files.repartition(self.buckets, "f"), self.files_table, "f")
