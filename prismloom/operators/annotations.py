@@ -70,9 +70,9 @@ def not_yet_annotated(sequences: DataFrame, annotations: DataFrame, name: str) -
 
 
 def annotations_of_elements(annotations: DataFrame, elements: DataFrame, element_ids: list[str]) -> DataFrame:
-    """The annotation of each listed element; of several the one with the greatest id."""
+    """The annotation of each listed element; of several the one with the greatest id, then name."""
     on = elements.filter(F.col("element_id").isin(element_ids)).select("element_id", F.col("sample_annotation_id").alias("id"))
-    joined = on.join(annotations, "id").groupBy("element_id").agg(F.max_by(F.struct("id", "name", "value_json"), "id").alias("a"))
+    joined = on.join(annotations, "id").groupBy("element_id").agg(F.max(F.struct("id", "name", "value_json")).alias("a"))
     return joined.select("element_id", "a.id", "a.name", "a.value_json")
 
 

@@ -45,12 +45,13 @@ def in_range(rules: dict[str, tuple[float | None, float | None]], columns: list[
             ok = ok & F.lit(bool(allowed))
             continue
         v = F.col(f"`{name}`")
-        test = F.lit(True)
+        # plain comparisons, so that they are pushed down to the scan
+        test = v.isNotNull()
         if low is not None:
             test = test & (v >= low)
         if high is not None:
             test = test & (v <= high)
-        ok = ok & F.when(v.isNull(), F.lit(bool(allowed))).otherwise(test)
+        ok = ok & (v.isNull() | test) if allowed else ok & test
     return ok
 
 

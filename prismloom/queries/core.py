@@ -282,7 +282,7 @@ def cross_tab_topk(spark, d):
     return ann.cross_top(rows, "group", "tag", 5)
 
 
-@core.add("elements_annotations", STORE + " select element_id, max(sa.id) as id, arg_max(sa.name, sa.id) as name from el join sa on sa.id = el.sample_annotation_id where element_id in (select element_id from el order by element_id limit 50) group by 1", "JN-25")
+@core.add("elements_annotations", STORE + " select element_id, id, name from (select element_id, sa.id, sa.name, row_number() over (partition by element_id order by sa.id desc, sa.name desc) as rn from el join sa on sa.id = el.sample_annotation_id where element_id in (select element_id from el order by element_id limit 50)) where rn = 1", "JN-25")
 def elements_annotations(spark, d):
     v = StoreViews(spark, d)
     wanted = [r.element_id for r in v.elements().select("element_id").orderBy("element_id").limit(50).collect()]
