@@ -76,6 +76,7 @@ class SumIndex:
         rest = gap - first
         ok = (self.counts[first] > 0) & (rest < len(sums))
         ok[ok] &= sums[rest[ok]]
+        # a bound on effort alone: a triple not found here is left to best fit, and no text is lost
         for a in first[ok][::-1][:64]:
             more = used + Counter([int(a)])
             if self.counts[a] >= more[int(a)] and (found := self.pair(gap - int(a), more)):
