@@ -38,17 +38,14 @@ def edge_probability(edges: np.ndarray) -> float:
     return 0.8 * densest + 0.2 * step
 
 
-def near_edge_min_std(grey: np.ndarray, edges: np.ndarray, lines: int = 3, patch: int = 8) -> float | None:
-    """Least deviation of the strips beside the densest rows or columns; None where none fits."""
+def near_edge_min_std(grey: np.ndarray, edges: np.ndarray, lines: int = 3) -> float | None:
+    """Least deviation of the two parts into which the densest rows (or columns, where these are as
+    dense) cut the picture; cuts at its border do not count, None where none is left."""
     rows, cols = edges.mean(axis=1), edges.mean(axis=0)
-    by_row = rows.max() >= cols.max()
-    density, image = (rows, grey) if by_row else (cols, grey.T)
-    found = []
-    for i in np.argsort(-density, kind="stable")[:lines]:
-        for strip in (image[max(0, i - patch) : i], image[i + 1 : i + 1 + patch]):
-            if strip.size:
-                found.append(float(strip.astype(np.float64).std()))
-    return min(found) if found else None
+    density, image = (rows, grey) if rows.max() > cols.max() else (cols, grey.T)
+    cuts = [i for i in np.argsort(density, kind="stable")[-lines:] if 0 < i < len(density) - 1]
+    parts = [part for i in cuts for part in (image[:i], image[i:])]
+    return min((float(part.astype(np.float64).std()) for part in parts), default=None)
 
 
 def features(rgb: np.ndarray, raw: bytes) -> dict:

@@ -77,9 +77,9 @@ def linked_images(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(tx.image_urls(raw), "|").alias("urls"))
 
 
-@q("clean_captions", "select event_id, 'A of ' || event_type || ', bright' as caption from events", "STR-23")
+@q("clean_captions", "select event_id, 'A painting of ' || event_type || ', bright' as caption from events", "STR-23")
 def clean_captions(spark, d):
-    raw = F.concat(F.lit('"A  painting of '), F.col("event_type"), F.lit(' ,bright"'))
+    raw = F.concat(F.lit('"A watercolor painting of '), F.col("event_type"), F.lit(' ,bright"'))
     return table(spark, d, "events").select("event_id", tx.clean_caption(raw).alias("caption"))
 
 
@@ -110,9 +110,9 @@ def hash_distance(spark, d):
     return rows.filter("pdq_hash is not null and other is not null").select("id", hamming_bits(F.col("pdq_hash"), F.col("other"), 32).alias("bits"))
 
 
-@q("vault_ids", "select distinct vault_path, sha256(vault_path) as vault_id from sequences_data where vault_path is not null", "ID-2")
-def vault_ids(spark, d):
-    return table(spark, d, "sequences_data").filter("vault_path is not null").select("vault_path", F.sha2("vault_path", 256).alias("vault_id")).distinct()
+@q("path_ids", "select distinct vault_path as path, sha256(vault_path) as path_id from sequences_data where vault_path is not null", "ID-2")
+def path_ids(spark, d):
+    return table(spark, d, "sequences_data").filter("vault_path is not null").select("vault_path", F.sha2("vault_path", 256).alias("path_id")).withColumnRenamed("vault_path", "path").distinct()
 
 
 @q("label_confidence", "select event_id, round(case event_id % 3 when 0 then 1 / (1 + exp(-(-0.25 + 1.5))) when 1 then exp(-0.25) else 1 - exp(-0.5) end, 6) as p_one from events", "SCR-5")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 MEMBERS = "url string, fname string, offset long, size long, data binary"
 _HIDDEN = re.compile(r"__[^/]*__($|/)")
 #: First bytes of a picture in hex, and its ending; anything else is taken for jpg.
-MAGIC = (("89504E47", "png"), ("FFD8FF", "jpg"), ("47494638", "gif"), ("52494646", "webp"), ("424D", "bmp"))
+MAGIC = (("89504E47", "png"), ("FFD8FF", "jpg"), ("47494638", "gif"), ("52494646", "webp"), ("424D", "bmp"), ("49492A00", "tiff"), ("4D4D002A", "tiff"))
 
 
 def read_tar(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
