@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 def hex_digits(col: Column) -> Column:
     """The 32 hex digits of an id (hyphens, blanks, case and a 0x prefix do not
     count), or null when the text does not hold exactly 32 of them."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(col)), "^0x", ""), "-", "")
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), bare)
+    bare = _bare(col)
+    return F.when(F.unhex(bare).isNotNull() & (F.length(bare) == 32), bare)
+
+
+def _bare(col: Column) -> Column:
+    """Lower-case text without blanks around, hyphens and a 0x prefix; no patterns, as this runs on every id."""
+    text = F.translate(F.lower(F.trim(col)), "-", "")
+    return F.when(text.startswith("0x"), F.substring(text, F.lit(3), F.length(text))).otherwise(text)
 
 
 def dashed(digits: Column) -> Column:
@@ -27,8 +33,8 @@ def canonical_id(col: Column) -> Column:
 def id_key(col: Column) -> Column:
     """Compact binary join key: 16 bytes for an id, else a tag byte and the UTF-8 text.
     Halves what a shuffle of UUID text moves."""
-    digits = hex_digits(col)
-    return F.when(digits.isNotNull(), F.unhex(digits)).otherwise(F.concat(F.lit(bytearray(b"\x00")), F.encode(F.lower(F.trim(col)), "utf-8")))
+    packed = F.unhex(_bare(col))
+    return F.when((F.octet_length(packed) == 16) & (F.length(_bare(col)) == 32), packed).otherwise(F.concat(F.lit(bytearray(b"\x00")), F.encode(F.lower(F.trim(col)), "utf-8")))
 
 
 def key_text(key: Column) -> Column:

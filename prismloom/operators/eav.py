@@ -90,30 +90,22 @@ def readable_string(value_float: Column, value_json: Column) -> Column:
 
 def read_cells(rows: DataFrame, attributes: list[Attribute]) -> DataFrame:
     """(entity, attr, ver, id, num, txt): the readable cells of a batch."""
-    positions = {a.key: i for i, a in enumerate(attributes)}
-    kinds = {kind: [i for i, a in enumerate(attributes) if a.kind == kind] for kind in TYPES}
-    lookup = F.create_map(*[F.lit(x) for pair in positions.items() for x in pair])
-    named = rows.select(
+    spark = rows.sparkSession
+    known = F.broadcast(spark.createDataFrame([(a.key, i, a.kind) for i, a in enumerate(attributes)], "akey string, attr int, kind string"))  # the schema's columns
+    named = rows.filter("sequence_id is not null and name is not null").withColumn("akey", attribute_key(F.col("name"))).join(known, "akey")
+    vf, vj, kind = F.col("value_float"), F.col("value_json"), F.col("kind")
+    # the number is a column of its own, so that it is worked out once per row
+    read = named.select(
         id_key(F.col("sequence_id")).alias("entity"),
-        lookup[attribute_key(F.col("name"))].alias("attr"),
+        "attr",
         F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(EARLIEST)).alias("ver"),
         id_key(F.col("id")).alias("id"),
-        "value_float",
-        "value_json",
-    ).filter("entity is not null and attr is not null")
-    vf, vj, attr = F.col("value_float"), F.col("value_json"), F.col("attr")
-    number = readable_number(vf, vj)
-    cells = named.select(
-        "entity",
-        attr,
-        "ver",
-        "id",
-        F.when(attr.isin(kinds["float"]), number)
-        .when(attr.isin(kinds["integer"]), F.when(number == F.floor(number), number))
-        .when(attr.isin(kinds["boolean"]), readable_boolean(vf, vj))
-        .alias("num"),
-        F.when(attr.isin(kinds["string"]), readable_string(vf, vj)).alias("txt"),
+        "kind",
+        F.when(kind.isin("float", "integer"), readable_number(vf, vj)).when(kind == "boolean", readable_boolean(vf, vj)).alias("num"),
+        F.when(kind == "string", readable_string(vf, vj)).alias("txt"),
     )
+    whole = F.when((kind != "integer") | (F.col("num") == F.floor("num")), F.col("num"))
+    cells = read.select("entity", "attr", "ver", "id", whole.alias("num"), "txt")
     return cells.filter("num is not null or txt is not null")
 
 

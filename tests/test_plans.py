@@ -45,7 +45,7 @@ def test_references_are_reduced_before_they_meet(spark):
 def test_cells_stay_in_the_jvm(spark):
     rows = spark.read.parquet(f"{FOLDER}/sample_annotations.parquet")
     text = plan(eav.read_cells(rows, eav.attributes_of(spark.read.parquet(f"{FOLDER}/attribute_types.parquet"))))
-    assert "Python" not in text and "Exchange" not in text
+    assert "Python" not in text and "hashpartitioning" not in text
 
 
 def test_heavy_keys_are_few_and_nothing_is_lost(spark):
