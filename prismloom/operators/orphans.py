@@ -101,14 +101,13 @@ def find_orphans(tables: dict[str, DataFrame]) -> DataFrame:
     return render(direct_orphans(refs, states))
 
 
-def cascade(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[str, ...] = ("deleted", "missing")) -> DataFrame:
-    """Direct and inherited orphan references: ref_table, ref_id, role, target_id, period,
-    origin ('direct' or 'inherited') and depth. A late target exists by now, so by
-    default it orphans nothing below it. Cycles end, as a record is reached once."""
+def _layers(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The direct orphans of every status, and the cascade that those of ``unsound`` set off, by depth."""
     space = Workspace(spark, "orphans")
     refs = space.keep(references(tables["sample_annotation_elements"], tables["annotations"]), "refs")
     states = target_states({t: tables[t] for t in TABLES}, tables["deleted_ids"])
-    found = space.keep(direct_orphans(refs, states).filter(F.col("status").isin(*unsound)).select("src", "ref", "role", "tab", "key", "at", F.lit(0).alias("depth")), "direct")
+    direct = space.keep(direct_orphans(refs, states), "direct")
+    found = direct.filter(F.col("status").isin(*unsound)).select("src", "ref", "role", "tab", "key", "at", F.lit(0).alias("depth"))
     down = refs.filter(F.col("tab") == TABLES.index("sample_annotations"))
     edge = ["src", "ref", "role", "tab", "key"]
     frontier, depth = found.filter("src = 0").select("ref").distinct(), 0
@@ -123,6 +122,14 @@ def cascade(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[st
         frontier = space.keep(layer.filter("src = 0").select("ref").distinct().join(reached, "ref", "left_anti"), "frontier")
         found = found.unionByName(layer)
         reached = reached.unionByName(frontier)
+    return direct, found
+
+
+def cascade(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[str, ...] = ("deleted", "missing")) -> DataFrame:
+    """Direct and inherited orphan references: ref_table, ref_id, role, target_id, period,
+    origin ('direct' or 'inherited') and depth. A late target exists by now, so by
+    default it orphans nothing below it. Cycles end, as a record is reached once."""
+    _, found = _layers(spark, tables, unsound)
     origin = F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("status")
     return render(found.withColumn("status", origin)).withColumnRenamed("status", "origin")
 
@@ -130,3 +137,12 @@ def cascade(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[st
 def orphan_report(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """Direct and inherited orphan references per table and month."""
     return cascade(spark, tables).groupBy("ref_table", "period", "origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def status_report(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[str, ...] = ("deleted", "missing")) -> DataFrame:
+    """Every unsound reference per table, month and status ('deleted', 'missing', 'late'), as
+    ``find_orphans`` lists them, and the references 'inherited' from those of ``unsound``. A late
+    reference that also hangs below an orphan counts under both."""
+    direct, found = _layers(spark, tables, unsound)
+    below = found.filter("depth > 0").drop("depth").withColumn("status", F.lit("inherited"))
+    return render(direct.unionByName(below)).groupBy("ref_table", "period", "status").agg(F.count(F.lit(1)).alias("n"))

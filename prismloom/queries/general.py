@@ -129,6 +129,26 @@ def p2_report(spark, sf_dir):
     return orphans.orphan_report(spark, {t: table(spark, sf_dir, t) for t in ORPHAN_TABLES})
 
 
+@general.add(
+    "p2_status_report",
+    _ORPHANS
+    + """, direct as (select * from found where status is not null),
+bad(id) as (
+  select distinct ref_id from direct where ref_table = 'sample_annotation_elements' and status <> 'late'
+  union
+  select r.ref_id from refs r join bad b on r.tab = 'sample_annotations' and r.target_id = b.id
+), inherited as (
+  select r.* from refs r where r.tab = 'sample_annotations' and r.target_id in (select id from bad)
+    and not exists (select 1 from direct d where d.status <> 'late' and d.ref_table = r.ref_table and d.ref_id = r.ref_id and d.role = r.role and d.tab = r.tab and d.target_id = r.target_id)
+)
+select ref_table, strftime(ts, '%Y-%m') as period, status, count(*) as n from direct group by all
+union all select ref_table, strftime(ts, '%Y-%m'), 'inherited', count(*) from inherited group by all""",
+    "P2",
+)
+def p2_status_report(spark, sf_dir):
+    return orphans.status_report(spark, {t: table(spark, sf_dir, t) for t in ORPHAN_TABLES})
+
+
 _LATEST = """
 with latest as (
   select * from (select *, row_number() over (partition by sequence_id order by create_time desc nulls last) as rn from sequences_data) where rn = 1

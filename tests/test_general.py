@@ -117,6 +117,23 @@ def test_orphan_cascade_ends_on_cycles(spark):
     assert orphans.find_orphans(tables(spark)).count() == 0
 
 
+def test_status_report_counts_late_references(spark):
+    i = UUID
+    link = lambda a, b, day: (i(a), i(b), "sample_annotation", "about", at(day), None)
+    t = tables(
+        spark,
+        # 1 is late and orphans nothing (2 is sound); 3 is missing, 4 inherits and is late as well
+        elements=[(i(1), i(5), "image", "x", at(2), None), link(2, 1, 9), (i(3), i(6), "image", "x", at(2), None), link(4, 3, 2)],
+        images=[(i(5), at(3))],
+        annotations=[(i(1), at(1)), (i(2), at(1)), (i(3), at(4)), (i(4), at(1))],
+    )
+    found = {(r.period, r.status): r.n for r in orphans.status_report(spark, t).collect()}
+    assert found == {("2024-01", "late"): 2, ("2024-01", "missing"): 1, ("2024-01", "inherited"): 1}
+    listed = {(r.period, r.status): r["count"] for r in orphans.find_orphans(t).groupBy("period", "status").count().collect()}
+    assert listed == {k: n for k, n in found.items() if k[1] != "inherited"}
+    assert {r.origin: r.n for r in orphans.orphan_report(spark, t).collect()} == {"direct": 1, "inherited": 1}
+
+
 SEQ = (
     "sequence_id string, create_time timestamp_ntz, path string, sequence_choices array<struct<choice:array<struct<type:string,index:string,require_loss:boolean,ref_index:string>>>>,"
     " images array<struct<id:string,width:int,height:int,index:string>>, texts array<struct<id:string,content:string,language:string,index:string>>"
