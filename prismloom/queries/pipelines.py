@@ -88,6 +88,15 @@ def style_suffix(spark, d):
     return rows.select("id", tx.with_style(F.col("content"), "Keep the style.").alias("prompt"))
 
 
+#: The characters Unicode calls blank, as (?U)\s has them: DuckDB's \s is ASCII alone.
+_BLANKS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@q("style_suffix_all", f"select id, base || case when regexp_matches(base, '[.!?]$') then ' ' else '. ' end || 'Keep the style.' as prompt from (select id, regexp_replace(content, '^{_BLANKS}|{_BLANKS}$', '', 'g') as base from texts where content is not null)", "STR-10 STR-24")
+def style_suffix_all(spark, d):
+    return table(spark, d, "texts").filter("content is not null").select("id", tx.with_style(F.col("content"), "Keep the style.").alias("prompt"))
+
+
 @q("path_parts", r"select id, regexp_replace(regexp_extract(uri, '([^/]*)$', 1), '\.[^.]*$', '') as stem, lower(regexp_extract(uri, '(\.[^./]+)$', 1)) as ext, split_part(uri, '/', 1) as top from lance_images where uri is not null", "STR-11 STR-12")
 def path_parts(spark, d):
     u = F.col("uri")

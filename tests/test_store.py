@@ -3,6 +3,7 @@
 import io
 import tarfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 from prismloom.functions import imaging
 from prismloom.functions import text as tx
 from prismloom.operators import reader, retrieval, sampling, scores, sequencing, stats, store, training
+from prismloom.queries import registries
 from prismloom.sources import files, tar
 from prismloom.streaming import incremental
 
+ENTRIES = {n: e for r in registries() for n, e in r.entries.items()}
+
 
 def rows_of(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
@@ -156,6 +160,19 @@ def test_text_functions(spark):
     assert [r.i for r in order.collect()] == ["index_2", "index_10", "caption", None, ""] or [r.i for r in order.collect()][:3] == ["index_2", "index_10", "caption"]
 
 
+def test_style_goes_on_every_caption(spark, tmp_path):
+    blanks = "\u3000\u00a0\u2003\u0085\u2028\n\x0b"
+    cases = [("en", "a cat", "a cat. "), ("en", f"{blanks}a cat!{blanks}", "a cat! "), ("zh", f"一只猫。{blanks}", "一只猫。. "), ("EN", "née\nLee?", "née\nLee? "), (None, "“x” ", "“x”. "), ("en-US", blanks, ". ")]
+    rows = [(str(i), language, content) for i, (language, content, _) in enumerate(cases)] + [("null", "en", None)]
+    spark.createDataFrame(rows, "id string, language string, content string").write.parquet(str(tmp_path / "texts.parquet"))
+    entry = ENTRIES["style_suffix_all"]
+    found = {r.id: r.prompt for r in entry.run(spark, str(tmp_path)).collect()}
+    assert found == {str(i): f"{start}Keep the style." for i, (_, _, start) in enumerate(cases)}
+    with duckdb.connect() as con:
+        con.execute(f"create view texts as select * from '{tmp_path}/texts.parquet/*.parquet'")
+        assert dict(con.execute(entry.sql).fetchall()) == found
+
+
 def test_scores(spark):
     raw = ["1", "[1, {\"score\": 3}, \"x\"]", '{"score": 5}', '{"a": 1, "b": {"score": 3}}', "true", "null", '"x"']
     assert one(spark, scores.numbers_in, *raw) == [[1.0], [1.0, 3.0], [5.0], [1.0, 3.0], [1.0], [], []]
