@@ -240,6 +240,13 @@ def test_tar_round_trip(spark, tmp_path):
     assert again.filter("fname like '%.png'").count() == 5
 
 
+def test_captions_of_every_language_are_tarred(spark, tmp_path):
+    texts = {"a": ("zh", "一只猫"), "b": ("ZH", "猫"), "c": ("en", "née"), "d": (None, "x\ny"), "e": ("zh-CN", ""), "f": ("en", None)}
+    spark.createDataFrame([(i, *t) for i, t in texts.items()], "id string, language string, content string").write.parquet(str(tmp_path / "texts.parquet"))
+    found = rows_of(ENTRIES["tar_round_trip_all"].run(spark, str(tmp_path)), "fname", "size")
+    assert found == [(f"{i}.txt", len(c.encode())) for i, (_, c) in texts.items() if c is not None]
+
+
 def test_imports_and_commits(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"sequence_id": "s", "value": 1}\nbroken\n{"sequence_id": null, "value": 2}\n')
     good, bad = files.import_annotations(spark, str(tmp_path / "a.jsonl"), "jsonl")
