@@ -140,15 +140,19 @@ def image_annotations_of(spark, d):
 
 @q("export_round_trip", STORE + " select sa.id, sa.name, sa.sequence_id, c.name as creator_name from sa join creators c on c.id = sa.creator_id", "SNK-1 SNK-5 SNK-9 SRC-16")
 def export_round_trip(spark, d):
-    """Annotations written as CSV, JSONL and Parquet one after the other; what comes back is returned."""
+    """Annotations with their elements written as CSV, JSONL and Parquet one after the other; the
+    annotations of what comes back are returned."""
     v = StoreViews(spark, d)
-    rows = ann.export(v.sample_annotations(), v.creators(), v.elements().limit(0), "left").filter("creator_name is not null").select("id", "name", "sequence_id", "creator_name")
+    rows = ann.export(v.sample_annotations(), v.creators(), v.elements(), "left").filter("creator_name is not null")
     space = Workspace(spark, "export")
-    for fmt in ("jsonl", "parquet"):
+    for fmt in ("csv", "jsonl", "parquet"):
         path = space.fresh(fmt)
         files.write_rows(rows, path, fmt)
-        rows = (spark.read.schema(rows.schema).json(path) if fmt == "jsonl" else spark.read.parquet(path)).select("id", "name", "sequence_id", "creator_name")
-    return rows
+        rows = files.read_rows(spark, path, fmt, rows.schema)
+    # an annotation's copies are what each of its elements has
+    of_element = rows.groupBy(*rows.columns).count()
+    copies = of_element.groupBy("id", "name", "sequence_id", "value_float", "value_json", "creator_name").agg(F.max("count").alias("n"))
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("id", "name", "sequence_id", "creator_name")
 
 
 @q("staged_append", "select id, source from lance_images where id is not null", "SNK-2 SNK-3 SNK-10")

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.text import path_extension, path_stem
 
 PICTURES = ("png", "jpg", "jpeg", "webp", "bmp", "gif")
+#: Quotes are doubled, line breaks and blanks kept; null is an empty field and '' a quoted one.
+CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: On reading, an empty field without quotes takes this mark and so is told from ''.
+CSV_READ = CSV | {"nullValue": "\0null\0"}
 
 
 def keyed_images(spark: SparkSession, folder: str, with_data: bool = False) -> DataFrame:
@@ -32,7 +36,7 @@ def import_annotations(spark: SparkSession, path: str, fmt: str, value: str = "v
     """Annotations of a CSV, Parquet or JSONL file and, apart, the rows that cannot be used (no
     sequence, no value or not readable)."""
     if fmt == "csv":
-        rows = spark.read.option("header", True).csv(path)
+        rows = spark.read.options(**CSV_READ).csv(path)
     elif fmt == "parquet":
         rows = spark.read.parquet(path)
     elif fmt == "jsonl":
@@ -87,7 +91,7 @@ def write_dataset(rows: DataFrame, path: str, mode: str = "append", sort: str |
 def write_rows(rows: DataFrame, path: str, fmt: str) -> None:
     writer = rows.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV).csv(path)
     elif fmt == "jsonl":
         writer.json(path)
     elif fmt == "parquet":
@@ -96,6 +100,18 @@ def write_rows(rows: DataFrame, path: str, fmt: str) -> None:
         raise ValueError(f"unknown format {fmt}")
 
 
+def read_rows(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
+    """What ``write_rows`` wrote, in the types of ``schema``."""
+    reader = spark.read.schema(schema)
+    if fmt == "csv":
+        return reader.options(**CSV_READ).csv(path)
+    if fmt == "jsonl":
+        return reader.json(path)
+    if fmt == "parquet":
+        return reader.parquet(path)
+    raise ValueError(f"unknown format {fmt}")
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """A small report (one row per metric) as a single CSV file."""
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -118,4 +134,4 @@ def staged_commit(spark: SparkSession, stagings: list[str], target: str, mode: s
     return n
 
 
-__all__ = ["keyed_images", "keyed_json", "import_annotations", "role_columns", "discover_stores", "store_config", "is_valid_store", "write_dataset", "write_rows", "write_report", "merge_shards", "staged_commit", "path_extension"]
+__all__ = ["keyed_images", "keyed_json", "import_annotations", "role_columns", "discover_stores", "store_config", "is_valid_store", "write_dataset", "write_rows", "read_rows", "write_report", "merge_shards", "staged_commit", "path_extension"]

@@ -268,6 +268,17 @@ def test_imports_and_commits(spark, tmp_path):
     assert config["indexes"] == [{"type": "image", "name": "source", "description": "first"}] and files.is_valid_store(config, {"x"}, "p")
 
 
+def test_rows_survive_every_format(spark, tmp_path):
+    values = ['{"a": "x, y"}', '"quoted"', " blanks ", "two\nlines\r\nmore", "back\\slash \\", "", None, "猫", "null", '"']
+    rows = spark.createDataFrame([(f"s{i}", v, None if v is None else i / 3) for i, v in enumerate(values)], "sequence_id string, value string, score float")
+    for fmt in ("csv", "jsonl", "parquet"):
+        files.write_rows(rows, str(tmp_path / fmt), fmt)
+        assert sorted(files.read_rows(spark, str(tmp_path / fmt), fmt, rows.schema).collect()) == sorted(rows.collect()), fmt
+    good, bad = files.import_annotations(spark, str(tmp_path / "csv"), "csv")
+    assert rows_of(good, "sequence_id", "value") == [(f"s{i}", v) for i, v in enumerate(values) if v is not None]
+    assert rows_of(bad, "sequence_id") == [("s6",)]
+
+
 def test_resume_stream(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
     schema = "key string, v int"
