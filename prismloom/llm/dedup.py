@@ -1,22 +1,27 @@
 """Each new batch against all accepted history: persisted inverted-file vector cells.
 
-A 256-bit hash is cut into 32 bytes; each byte with its value names a *cell* (32 * 256 of
-them) that holds the full vectors with that value. Two bytes form a 16-bit sub-vector,
-two of these a 32-bit band. A query probes, in each of its 32 cells, first the vectors
-whose neighbouring byte is equal, then those at one bit. After these probes the distance
-bound ends the search: a vector not met differs by two bits or more in every sub-vector
-or by four or more in every band, hence by 32 or more in all. So every vector within 31
-bits is met, none is missed. What is met is reranked exactly: band first, then all bits.
-
-Cells live in a table bucketed by a hash of the cell, so a new batch is shuffled to the
-cells and the history is not. Accepted vectors are appended to the cells; nothing accepted
-is ever compared with the history again. A cell with more than ``split`` vectors is
-divided into blocks: the stored vectors are spread over them, a query visits each.
-
-Order and rules (TESTDATA.md, problem 3): rows count by rising (batch_id, id); a row is
-a duplicate when an accepted earlier row has its file_hash or a pdq_hash within 31 bits.
-Within a batch this is resolved in rounds: the earliest undecided row of each conflict is
-accepted, all rows in conflict with it are duplicates, until none is undecided.
+A 256-bit hash is cut into 16 sub-vectors of 16 bits; a sub-vector's place and value name a
+*cell* that holds the full vectors with that value there. A query probes in each place the
+cells by rising distance: first its own, then the 16 at one bit. After these the distance
+bound ends the search: a vector not met differs by two bits or more in all 16 places, hence by
+32 or more. So every vector within 31 bits is met. What is met is reranked exactly: the two
+neighbouring sub-vectors first (one of the 8 pairs differs by 3 bits or fewer), then all bits.
+
+The index is a folder: cells packed into pages of sorted vectors, the file hashes, and a
+manifest that names the committed generations; ``DedupIndex(spark, path)`` opens it again in any
+session. A batch is decided and its accepted rows are appended as a generation; what is stored
+is neither shuffled nor written again, but for merging generations of one size class (each
+vector once per class) and for splitting cells into more buckets as the index grows fourfold. A
+bucket with more than ``split`` vectors, as a hot cell gives, is compared block by block.
+
+A batch is decided in slices by rising order, each up to ``GROWTH`` times what the batch had
+before, so that of a large group of near-duplicates the first slice accepts one and all
+later ones meet it as stored; no group is ever expanded into all its pairs. Within a slice a
+row lists at most ``listed`` neighbours a place; a row that these cannot decide goes on to the
+next slice, where it is compared again, so the limit loses nothing.
+
+Order and rules (TESTDATA.md, problem 3): rows count by rising (batch_id, id); a row is a
+duplicate when an accepted earlier row has its file_hash or a pdq_hash within 31 bits.
 
 Results for odd input: a null hash never matches; a pdq_hash that is not 32 bytes long is
 treated as null; a null batch_id counts before all others; repeated rows (same id) are one
@@ -25,85 +30,80 @@ row; an empty batch changes nothing; extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import id_key, key_text
-from ..plans.storage import Workspace
+from ..plans.buckets import BucketedTable, even_codes
+from ..plans.storage import Workspace, read_note, write_note
 
 RADIUS = 31
-WORDS = ["h0", "h1", "h2", "h3"]
-PAIR = "a0 long, a1 long, a2 long, a3 long, b0 long, b1 long, b2 long, b3 long, old boolean"
-#: Neighbouring bytes that a probe visits: the same, then one bit away.
-FLIPS = np.array([0, 1, 2, 4, 8, 16, 32, 64, 128], np.int64)
+PLACES = 16
+#: Values at no bit and at one bit from a sub-vector: the cells a query probes in one place.
+FLIPS = np.array([0, *(1 << i for i in range(16))], np.int64)
 CHUNK = 2_000_000
-SLOTS = 32 * 65536
-
-
-def words(col: Column) -> list[Column]:
-    """A 32-byte hash as four longs, null for anything else."""
-    whole = F.when(F.octet_length(col) == 32, F.hex(col))
-    return [_word(whole, i).alias(w) for i, w in enumerate(WORDS)]
-
-
-def _word(whole: Column, i: int) -> Column:
-    high = F.conv(F.substring(whole, 1 + 16 * i, 8), 16, 10).cast("long")
-    low = F.conv(F.substring(whole, 9 + 16 * i, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
-def byte_of(position: int) -> Column:
-    """Byte 0..31 of the hash held in WORDS."""
-    return F.shiftrightunsigned(F.col(WORDS[position // 8]), 56 - 8 * (position % 8)).bitwiseAND(F.lit(255)).cast("int")
-
-
-def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
-def match_cells(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    """Exact matches of the queries in ``new`` with the vectors of the same cells in ``new``
-    and ``old``. Both: cell (block * 8192 + byte position * 256 + value), h0..h3; ``new``
-    also is_query and is_stored."""
-
-    def unpack(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        vectors = np.ascontiguousarray(df[WORDS].to_numpy(np.int64)).view(np.uint64)
-        return df["cell"].to_numpy(np.int64), vectors
-
-    q_rows = new[new["is_query"]]
-    x_new = new[new["is_stored"]]
-    qc, qv = unpack(q_rows)
-    nc, nv = unpack(x_new)
-    oc, ov = unpack(old)
-    xc, xv, xold = np.concatenate([nc, oc]), np.concatenate([nv, ov]), np.concatenate([np.zeros(len(nc), bool), np.ones(len(oc), bool)])
-    if not len(qc) or not len(xc):
-        return pd.DataFrame({c.split()[0]: pd.Series(dtype="bool" if "old" in c else "int64") for c in PAIR.split(", ")})
-
-    def octets(v: np.ndarray) -> np.ndarray:
-        return v.astype(">u8").view(np.uint8).reshape(len(v), 32)
-
-    qb, xb = octets(qv), octets(xv)
-    qpos, xpos = (qc // 256) % 32, (xc // 256) % 32
-    q_at, x_at = np.arange(len(qc)), np.arange(len(xc))
-    q_side, x_side = qb[q_at, qpos ^ 1].astype(np.int64), xb[x_at, xpos ^ 1].astype(np.int64)
-    # stored vectors by (cell, neighbouring byte)
-    order = np.argsort(xc * 256 + x_side, kind="stable")
-    keys = (xc * 256 + x_side)[order]
-    q_band = qb.reshape(len(qb), 8, 4)[q_at, qpos // 4].copy().view(np.uint32).ravel()
-    x_band = xb.reshape(len(xb), 8, 4)[x_at, xpos // 4].copy().view(np.uint32).ravel()[order]
-    want = (qc * 256)[:, None] + (q_side[:, None] ^ FLIPS[None, :])
-    low, high = np.searchsorted(keys, want.ravel(), "left"), np.searchsorted(keys, want.ravel(), "right")
-    # an equal sub-vector is met in its first byte's cell, so the second one skips it
-    skip = ((qpos % 2 == 1)[:, None] & (FLIPS == 0)[None, :]).ravel()
-    counts = np.where(skip, 0, high - low)
-    owner = np.repeat(np.arange(len(qc)), len(FLIPS))
+FIRST_SLICE, GROWTH = 20_000, 8
+#: Buckets of a new index; each growth splits all of them into four.
+CELL_BUCKETS, MARK_BUCKETS = PLACES // 2, 4
+PAGES = "part int, place int, n int, lo int, hi int, slots binary, vectors binary"
+HITS = "a binary, b binary, old boolean, upto binary"
+ACCEPTED = "mark binary, key binary"
+
+
+def whole_hash(col: Column) -> Column:
+    """A hash of 32 bytes, null for anything else."""
+    return F.when(F.octet_length(col) == 32, col)
+
+
+def _observed(seen: Observation, name: str) -> int | None:
+    """An observed number, None where the plan was found to be empty and gave none."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        return seen.get.get(name)
+    except Py4JJavaError:
+        return None
+
+
+def _matrix(values) -> np.ndarray:
+    """Rows of 32 bytes."""
+    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, 32)
+
+
+def _slot(vectors: np.ndarray, place: int) -> np.ndarray:
+    return vectors[:, 2 * place].astype(np.int64) * 256 + vectors[:, 2 * place + 1]
+
+
+class _Cells:
+    """Vectors sorted by their sub-vector at one place, with the start of each cell."""
+
+    def __init__(self, vectors: np.ndarray, place: int):
+        slots = _slot(vectors, place)
+        self.order = np.argsort(slots.astype(np.uint16), kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=65536))])
+        self.vectors = vectors[self.order]
+        self.pairs = _neighbours(self.vectors, place)
+        self.words = self.vectors.view(np.uint64)
+
+
+def _neighbours(vectors: np.ndarray, place: int) -> np.ndarray:
+    """The sub-vector and its neighbour, as 32 bits."""
+    return np.ascontiguousarray(vectors.reshape(-1, 8, 4)[:, place // 2]).view(np.uint32).ravel()
+
+
+def _met(queries: np.ndarray, cells: _Cells, place: int):
+    """Chunks of (query, cell position) of all pairs within the radius that this place's probes meet."""
+    slots, pairs, words = _slot(queries, place), _neighbours(queries, place), np.ascontiguousarray(queries).view(np.uint64)
+    want = (slots[:, None] ^ FLIPS[None, :]).ravel()
+    low = cells.starts[want]
+    counts = cells.starts[want + 1] - low
+    owner = np.repeat(np.arange(len(queries)), len(FLIPS))
     cut = np.cumsum(counts)
-    found_q, found_x, start = [], [], 0
+    start = 0
     while start < len(counts):
         stop = max(start + 1, int(np.searchsorted(cut, (cut[start - 1] if start else 0) + CHUNK, "right")))
         c = counts[start:stop]
@@ -111,205 +111,443 @@ def match_cells(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         if total:
             q = np.repeat(owner[start:stop], c)
             x = np.repeat(low[start:stop] - (np.cumsum(c) - c), c) + np.arange(total)
-            near = np.bitwise_count(q_band[q] ^ x_band[x]) <= 3
-            q, x = q[near], order[x[near]]
-            near = _bits(qv[q], xv[x]).sum(axis=1, dtype=np.int64) <= RADIUS
-            found_q.append(q[near])
-            found_x.append(x[near])
+            near = np.bitwise_count(pairs[q] ^ cells.pairs[x]) <= 3
+            q, x = q[near], x[near]
+            near = np.bitwise_count(words[q] ^ cells.words[x]).sum(axis=1, dtype=np.int64) <= RADIUS
+            yield q[near], x[near]
         start = stop
-    q, x = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_q, found_x))
-    a, b, old_hit = qv[q], xv[x], xold[x]
-    # of a pair of new vectors one direction; of the cells in which a pair is met the first
-    order_a, order_b = a.view(np.int64), b.view(np.int64)
-    differs = order_a != order_b
-    lead = np.argmax(differs, axis=1)
-    at = np.arange(len(a))
-    keep = old_hit | (differs.any(axis=1) & (order_a[at, lead] < order_b[at, lead]))
-    diff = np.bitwise_count(qb[q] ^ xb[x])
-    sibling = diff.reshape(len(q), 16, 2)[:, :, ::-1].reshape(len(q), 32)
-    band = np.repeat(diff.reshape(len(q), 8, 4).sum(axis=2), 4, axis=1)
-    odd = (np.arange(32) % 2 == 1)[None, :]
-    met = (diff == 0) & (sibling <= 1) & (band <= 3) & ~(odd & (sibling == 0))
-    keep &= np.argmax(met, axis=1) == qpos[q]
-    a, b, old_hit = order_a[keep], order_b[keep], old_hit[keep]
-    return pd.DataFrame({**{f"a{i}": a[:, i] for i in range(4)}, **{f"b{i}": b[:, i] for i in range(4)}, "old": old_hit})
 
 
-class DedupIndex:
-    """Accepted images: vector cells and file hashes, both in bucketed tables.
+def _first_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first place at which a pair is met, so that it is listed once."""
+    bits = np.bitwise_count(a ^ b).reshape(-1, 16, 2).sum(axis=2)
+    both = np.repeat(bits.reshape(-1, 8, 2).sum(axis=2), 2, axis=1)
+    return np.argmax((bits <= 1) & (both <= 3), axis=1)
+
+
+def match_part(new: pd.DataFrame, pages: pd.DataFrame, listed: int = 64) -> pd.DataFrame:
+    """The matches of one part. ``new``: place, h, ord, is_query, is_stored; ``pages``: vectors.
+    A query that meets a stored vector gives one row (old). Any other lists its neighbours of
+    the same batch by their order, at most ``listed``; where there are others, ``upto`` is the order of
+    the last one listed."""
+    out: list[tuple] = []
+    asked = new[new["is_query"].to_numpy(bool)]
+    if len(asked):
+        place = int(asked["place"].iloc[0])
+        queries = _matrix(asked["h"])
+        open_ = np.ones(len(queries), bool)
+        if len(pages):
+            stored = _Cells(_matrix(pages["vectors"]), place)
+            for q, _ in _met(queries, stored, place):
+                open_[q] = False
+            del stored
+            out += [(queries[i].tobytes(), None, True, None) for i in np.flatnonzero(~open_)]
+        fresh = new[new["is_stored"].to_numpy(bool)]
+        gone = set(asked["h"].to_numpy()[~open_])
+        fresh = fresh[[h not in gone for h in fresh["h"]]] if gone else fresh
+        left, left_at = queries[open_], asked["ord"].to_numpy()[open_]
+        if len(left) and len(fresh):
+            cells = _Cells(_matrix(fresh["h"]), place)
+            # places in the batch's order, so that "earliest" is a comparison of numbers
+            every = np.array(sorted({*left_at, *fresh["ord"]}), object)
+            at = {o: i for i, o in enumerate(every)}
+            x_at = np.fromiter((at[o] for o in fresh["ord"]), np.int64, len(fresh))[cells.order]
+            held_q, held_x = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            more = np.zeros(len(left), bool)
+            for q, x in _met(left, cells, place):
+                apart = (left[q] != cells.vectors[x]).any(axis=1)
+                q, x = np.concatenate([held_q, q[apart]]), np.concatenate([held_x, x[apart]])
+                order = np.lexsort((x_at[x], q))
+                q, x = q[order], x[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q, "left")
+                more[q[nth >= listed]] = True
+                held_q, held_x = q[nth < listed], x[nth < listed]
+            a, b = left[held_q], cells.vectors[held_x]
+            # a pair is listed where it is met first; lists that are cut stay whole
+            keep = (_first_place(a, b) == place) | more[held_q] if len(a) else np.zeros(0, bool)
+            last = dict(zip(held_q.tolist(), x_at[held_x].tolist(), strict=True))
+            out += [(u.tobytes(), v.tobytes(), False, every[last[i]] if more[i] else None) for u, v, i in zip(a[keep], b[keep], held_q[keep].tolist(), strict=True)]
+    return pd.DataFrame(out, columns=["a", "b", "old", "upto"])
+
+
+def decide(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Rows (ord, f, h) of one slice in their order, by their ``links`` (HITS): accepted (1), duplicate
+    (0) or left for the next slice (2), which befalls a row whose listed neighbours cannot tell."""
+    near: dict[bytes, set] = {}
+    upto: dict[bytes, bytes] = {}
+    dead = set(links["a"][links["old"].to_numpy(bool)])
+    links = links[~links["old"].to_numpy(bool)]
+    for a, b, last in zip(links["a"], links["b"], links["upto"], strict=True):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+        if last is not None:
+            upto[a] = min(upto.get(a, last), last)
+    files, wait_files, hit, wait = set(), set(), dead, set()
+    out = []
+    for o, f, h in sorted(zip(rows["ord"], rows["f"], rows["h"], strict=True), key=lambda r: r[0]):
+        if f in files or h in hit:
+            out.append((o, f, h, 0))
+            continue
+        reach = (h, *near.get(h, ())) if h is not None else ()
+        if f in wait_files or h in wait or (h in upto and upto[h] < o):
+            state, marked_f, marked_h = 2, wait_files, wait
+        else:
+            state, marked_f, marked_h = 1, files, hit
+        if f is not None:
+            marked_f.add(f)
+        marked_h.update(reach)
+        out.append((o, f, h, state))
+    return pd.DataFrame(out, columns=["ord", "f", "h", "state"])
+
+
+def pack_pages(place: int, part: int, vectors: np.ndarray, size: int) -> list[tuple]:
+    slots = _slot(vectors, place)
+    order = np.argsort(slots, kind="stable")
+    slots, vectors = slots[order].astype(np.uint16), vectors[order]
+    return [(part, place, len(s), int(s[0]), int(s[-1]), s.tobytes(), v.tobytes()) for i in range(0, len(slots), size) for s, v in [(slots[i : i + size], vectors[i : i + size])]]
+
 
-    ``expected`` is the number of vectors the index is laid out for; it sets the number of
-    buckets so that one holds about ``per_bucket`` postings (32 per vector).
-    """
+class DedupIndex:
+    """Accepted images in the folder ``path``: pages of vector cells, file hashes and a manifest."""
 
-    def __init__(self, spark: SparkSession, expected: int, path: str | None = None, per_bucket: int = 250_000, split: int = 50_000):
-        self.spark, self.split = spark, split
+    def __init__(self, spark: SparkSession, path: str | None = None, per_part: int = 1_000_000, split: int = 2_000_000, page: int = 16_384, merge: int = 8, finish: int = 2 * FIRST_SLICE, listed: int = 64):
+        """``per_part`` vectors are held by a bucket before cells are split into more of them; see the
+        module for ``split``. ``page`` is the number of vectors of a page, ``merge`` the number of generations
+        of a size class that become one, ``finish`` how many tied rows one task decides at a time."""
+        self.spark, self.per_part, self.split, self.page, self.merge, self.finish, self.listed = spark, per_part, split, page, merge, finish, listed
         self.space = Workspace(spark, "dedup", path)
-        self.buckets = int(min(4096, max(12, -(-expected * 32 // per_bucket))))
-        name = uuid.uuid4().hex[:10]
-        self.cells_table, self.files_table = f"prismloom_cells_{name}", f"prismloom_files_{name}"
-        self.loads = np.zeros(32 * 256, np.int64)
-        self.has_cells = self.has_files = False
+        self._note = f"{self.space.path}/manifest.json"
+        self.state = read_note(spark, self._note) or {"bits": 0, "layout": 0, "next": 1, "vectors": {}, "rows": {}}
+        self._open_tables()
+
+    def _open_tables(self) -> None:
+        self.parts = CELL_BUCKETS << self.state["bits"]
+        self.cells = BucketedTable(self.spark, f"{self.space.path}/cells-{self.state['layout']}", PAGES, "part", self.parts)
+        self.accepted = BucketedTable(self.spark, f"{self.space.path}/accepted-{self.state['layout']}", ACCEPTED, "mark", MARK_BUCKETS << self.state["bits"])
+
+    @property
+    def size(self) -> int:
+        """Vectors held."""
+        return sum(self.state["vectors"].values())
+
+    def _gens(self, kind: str) -> list[int]:
+        return [int(g) for g in self.state[kind]]
+
+    def close(self) -> None:
+        """Leave the catalog; the folder can be opened again."""
+        self.cells.close()
+        self.accepted.close()
+
+    def drop(self) -> None:
+        self.close()
+        self.space.drop()
 
     # -- cells -----------------------------------------------------------------------
-    def _cells(self, vectors: DataFrame, side: bool = False) -> DataFrame:
-        """(cell, h0..h3): 32 rows per vector, cell without block; on request also ``slot``, the
-        cell and the value of its neighbouring byte (2 million slots in all)."""
-        slots = F.explode(F.array(*[(F.lit(p * 65536) + byte_of(p) * 256 + byte_of(p ^ 1)) for p in range(32)]))
-        if side:
-            return vectors.select(*WORDS, slots.alias("slot")).withColumn("cell", F.shiftright("slot", 8))
-        return vectors.select(*WORDS, F.explode(F.array(*[(F.lit(p * 256) + byte_of(p)) for p in range(32)])).alias("cell"))
-
-    def _worth_reading(self, vectors: DataFrame) -> DataFrame:
-        """Stored postings that a small batch can meet at all: those in a slot that one of its
-        probes visits. The visited slots are a bit map of at most 256 kB, tested in the JVM, so
-        only what is probed leaves the scan. A batch that visits most slots reads all."""
-        stored = self.spark.table(self.cells_table)
-        if vectors.count() * 32 * len(FLIPS) > SLOTS // 2:
-            return stored
-        near = F.explode(F.array(*[F.lit(int(f)) for f in FLIPS]))
-        visited = self._cells(vectors, side=True).select("slot", near.alias("flip")).withColumn("slot", F.col("slot").bitwiseXOR(F.col("flip")))
-        bits = F.expr("bit_or(shiftleft(1L, slot & 63))")
-        found = {r.w: r.b for r in visited.groupBy(F.shiftright("slot", 6).alias("w")).agg(bits.alias("b")).collect()}  # at most SLOTS / 64 rows
-        bitmap = self.spark.createDataFrame([([found.get(w, 0) for w in range(SLOTS // 64)],)], "bitmap array<long>")
-        hit = F.expr("shiftrightunsigned(element_at(bitmap, shiftright(slot, 6) + 1), slot & 63) & 1L") == 1
-        return stored.crossJoin(F.broadcast(bitmap)).filter(hit).drop("bitmap")
-
-    def _blocks(self, loads: np.ndarray) -> dict[int, int]:
-        """Cells over ``split`` and their number of blocks; at most all 8192 cells."""
-        return {int(c): int(-(-loads[c] // self.split)) for c in np.flatnonzero(loads > self.split)}
-
-    def _spread(self, cells: DataFrame, blocks: dict[int, int], query: bool) -> DataFrame:
-        """Block and bucket of each posting. A stored vector lies in one block; a query goes to all."""
-        if blocks:
-            lookup = F.create_map(*[F.lit(v) for pair in blocks.items() for v in pair])
-            n = F.coalesce(lookup[F.col("cell")], F.lit(1))
-            own = F.pmod(F.xxhash64(*WORDS), n).cast("int")
-            block = F.explode(F.sequence(F.lit(0), n - 1)) if query else own
-            cells = cells.withColumn("own", own).withColumn("block", block)
-            cells = cells.withColumn("is_stored", F.col("own") == F.col("block"))
-        else:
-            cells = cells.withColumn("block", F.lit(0)).withColumn("is_stored", F.lit(True))
-        # "part" is a plain bucket number, so a group of the co-grouped join is one bucket, never one hot cell
-        cell = (F.col("block") * 8192 + F.col("cell")).cast("long")
-        spread = cells.select(cell.alias("cell"), *WORDS, "is_stored", *[c for c in ("slot",) if c in cells.columns])
-        return spread.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(self.buckets)).cast("int"))
-
-    def _loads_of(self, vectors: DataFrame) -> np.ndarray:
-        counts = self._cells(vectors).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 8192 rows
-        loads = np.zeros_like(self.loads)
-        for r in counts:
-            loads[r.cell] = r.n
-        return loads
-
-    def neighbours(self, vectors: DataFrame, loads: np.ndarray) -> DataFrame:
-        """Pairs of ``vectors`` (distinct h0..h3) within the radius of one another (old false) or
-        of an accepted vector (old true)."""
-        blocks = self._blocks(self.loads + loads)
-        new = self._spread(self._cells(vectors), blocks, query=True).withColumn("is_query", F.lit(True))
-        if self.has_cells:
-            grouped = new.groupBy("part").cogroup(self._worth_reading(vectors).select("part", "cell", *WORDS).groupBy("part"))
-            return grouped.applyInPandas(match_cells, PAIR)
-        empty = pd.DataFrame({"cell": np.zeros(0, np.int64), **{w: np.zeros(0, np.int64) for w in WORDS}})
-        return new.repartition(self.buckets, "part").groupBy("part").applyInPandas(lambda group: match_cells(group, empty), PAIR)
-
-    def append(self, accepted: DataFrame) -> None:
-        """Add accepted rows (f, h0..h3) to the cells and to the file hashes."""
-        vectors = accepted.filter("h0 is not null").select(*WORDS).distinct()
-        vectors = self.space.keep(vectors, "vectors")
-        self.loads += self._loads_of(vectors)
-        spread = self._spread(self._cells(vectors, side=True), self._blocks(self.loads), query=False).select("part", "cell", "slot", *WORDS)
-        self._write(spread.repartition(self.buckets, "part"), self.cells_table, "part")
-        files = accepted.filter("f is not null").select("f").distinct()
-        self._write(files.repartition(self.buckets, "f"), self.files_table, "f")
-        self.has_cells = self.has_files = True
-
-    def _write(self, rows: DataFrame, name: str, by: str) -> None:
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, by).option("path", f"{self.space.path}/{name}").saveAsTable(name)
+    def _part(self, slot: Column) -> Column:
+        """The bucket of a cell: its place and, as the index grows, the first bits of its value. A bucket
+        of a new index holds two places, which ``place`` tells apart."""
+        number = F.shiftright(F.shiftleft("place", 16) + slot, 17 - self.state["bits"])
+        if self.parts > 4096:
+            return number
+        return F.element_at(F.array(*[F.lit(c) for c in even_codes(self.parts)]), number + 1)
+
+    @staticmethod
+    def _slot_of(place: Column) -> Column:
+        return F.conv(F.hex(F.substring("h", 2 * place + 1, F.lit(2))), 16, 10).cast("int")
+
+    def _stored(self, vectors: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """(part, place, h): each vector once a place, in the bucket of its cell."""
+        rows = vectors.select("h", *keep, F.explode(F.array(*[F.lit(p) for p in range(PLACES)])).alias("place"))
+        slot = self._slot_of(F.col("place")) if self.state["bits"] else F.lit(0)
+        return rows.select(self._part(slot).alias("part"), "place", "h", *keep)
+
+    def _asked(self, vectors: DataFrame) -> DataFrame:
+        """As ``_stored``, and besides in the buckets of cells at one of the bits that tell buckets apart."""
+        bits = self.state["bits"]
+        if bits < 2:
+            return self._stored(vectors, ("ord",)).withColumn("own", F.lit(True))
+        rows = vectors.select("h", "ord", F.explode(F.array(*[F.lit(p) for p in range(PLACES)])).alias("place"))
+        near = F.explode(F.array(*[F.lit(0), *[F.lit(1 << (15 - i)) for i in range(bits - 1)]]))
+        rows = rows.withColumn("flip", near).withColumn("slot", self._slot_of(F.col("place")).bitwiseXOR(F.col("flip")))
+        return rows.select(self._part(F.col("slot")).alias("part"), "place", "h", "ord", (F.col("flip") == 0).alias("own"))
+
+    def _worth_reading(self, vectors: DataFrame, n: int) -> DataFrame:
+        """Stored pages; for a batch of few vectors those with a cell that one of its probes visits,
+        by a bit map of visited cells (0.2 MB whatever the data); a larger batch visits most pages."""
+        pages = self.cells.read(self._gens("vectors"))
+        if n * PLACES * len(FLIPS) > PLACES * 65536 // 2 or self.size < PLACES * self.page:
+            return pages
+        slots = vectors.select(F.explode(F.array(*[F.shiftleft(F.lit(p), 16) + self._slot_of(F.lit(p)) for p in range(PLACES)])).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 63))").alias("b"))
+        words = np.zeros(PLACES * 1024, np.uint64)
+        for r in slots.collect():  # at most 16,384 words of bits
+            words[r.w] = np.uint64(r.b & (2**64 - 1))
+        at = np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
+        visited = np.zeros(PLACES * 65536, bool)
+        visited[(at[:, None] ^ FLIPS[None, :]).ravel()] = True
+        words = np.packbits(visited, bitorder="little").view(np.int64)
+        upto = np.concatenate([[0], np.cumsum(words != 0)])
+        seen = F.broadcast(self.spark.createDataFrame([(words.tolist(), upto.tolist())], "words array<long>, upto array<int>"))
+        place, first, last = F.shiftleft("place", 10), F.shiftright("lo", 6), F.shiftright("hi", 6)
+        word = lambda at: F.element_at("words", place + at + 1)
+        above = F.expr("shiftleft(-1L, lo & 63)")
+        below = F.expr("shiftrightunsigned(-1L, 63 - (hi & 63))")
+        between = F.element_at("upto", place + last + 1) > F.element_at("upto", place + first + 2)
+        ends = (word(first).bitwiseAND(above) != 0) | (word(last).bitwiseAND(below) != 0)
+        hit = F.when(first == last, word(first).bitwiseAND(above).bitwiseAND(below) != 0).otherwise(between | ends)
+        return pages.crossJoin(seen).filter(hit).drop("words", "upto")
+
+    def _hot(self, new: DataFrame, n: int) -> dict[int, tuple[int, int]]:
+        """Parts with more than ``split`` vectors: into how many blocks their stored vectors and their queries go."""
+        if self.size + n <= self.split:
+            return {}
+        held = self.cells.read(self._gens("vectors")).groupBy("part").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("q"))
+        loads = held.unionByName(new.groupBy("part").agg(F.count_if("own").alias("n"), F.count(F.lit(1)).alias("q"))).groupBy("part").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+        return {r.part: (-(-r.n // self.split), -(-r.q // self.split)) for r in loads.filter(F.greatest("n", "q") > self.split).collect()}  # one row per hot bucket
+
+    def matches(self, vectors: DataFrame, n: int) -> DataFrame:
+        """``vectors``: h (distinct), ord, ``n`` of them. Which meet a stored vector (old), and the neighbours
+        among themselves of the others: a, b, old, more."""
+        new = self._asked(vectors)
+        hot = self._hot(new, n)
+        pages = self._worth_reading(vectors, n)
+        flags = new.withColumn("is_query", F.lit(True)).withColumnRenamed("own", "is_stored")
+        if not hot:
+            return self._meet(flags, pages, ["part", "place"])
+        counts = F.create_map(*[F.lit(x) for p, (i, j) in hot.items() for x in (p, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")))])
+        cold = ~F.col("part").isin(list(hot))
+        cool = self._meet(flags.filter(cold), pages.filter(cold), ["part", "place"])
+        blocks = lambda name: F.explode(F.sequence(F.lit(0), counts[F.col("part")][name] - 1))
+        own = lambda name, *by: F.pmod(F.xxhash64(*by), counts[F.col("part")][name]).cast("int")
+        warm = flags.filter(~cold)
+        asked = warm.withColumn("is_stored", F.lit(False)).withColumn("j", own("j", "h")).withColumn("i", blocks("i"))
+        stored = warm.filter("is_stored").withColumn("is_query", F.lit(False)).withColumn("i", own("i", "h")).withColumn("j", blocks("j"))
+        paged = pages.filter(~cold).withColumn("i", own("i", "vectors")).withColumn("j", blocks("j"))
+        return cool.unionByName(self._meet(asked.unionByName(stored), paged, ["part", "place", "i", "j"]))
+
+    def _meet(self, new: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+        new = new.select(*by, "h", "ord", "is_query", "is_stored")
+        listed = self.listed
+        if not self.state["vectors"]:
+            none = pd.DataFrame({"vectors": pd.Series(dtype=object)})
+            return new.groupBy(*by).applyInPandas(lambda group: match_part(group, none, listed), HITS)
+        return new.groupBy(*by).cogroup(pages.select(*by, "vectors").groupBy(*by)).applyInPandas(lambda group, held: match_part(group, held, listed), HITS)
 
     # -- one batch -------------------------------------------------------------------
-    def probe(self, batch: DataFrame) -> DataFrame:
-        """Decide a batch: key, ord, f, h0..h3, accepted. Nothing is stored yet."""
-        space = self.space
-        rows = batch.select(
-            id_key(F.col("id")).alias("key"),
-            F.col("batch_id").cast("int").alias("b"),
-            F.col("file_hash").alias("f"),
-            *words(F.col("pdq_hash")),
-        )
-        rows = rows.groupBy("key").agg(F.min(F.struct("b", "f", *WORDS)).alias("r")).select("key", F.struct(F.col("r.b").alias("b"), "key").alias("ord"), "r.f", *[f"r.{w}" for w in WORDS])
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """Decide a batch (id, batch_id, file_hash, pdq_hash) and append what is accepted:
+        key, accepted, one row per id."""
+        rows, n = self._kept(Workspace(self.spark, "batch"), batch_rows(batch), "rows")
+        self.ingest_rows(rows, n)
+        return self.decided(rows)
+
+    def decided(self, rows: DataFrame) -> DataFrame:
+        """key, accepted of rows that were ingested; a row with neither hash is always accepted."""
+        known = self.accepted.read(self._gens("rows")).select("key").withColumn("known", F.lit(True))
+        bare = F.col("f").isNull() & F.col("h").isNull()
+        return rows.join(known, "key", "left").select("key", (F.col("known").isNotNull() | bare).alias("accepted"))
+
+    def ingest_rows(self, rows: DataFrame, n: int) -> None:
+        """As ``ingest`` for the ``n`` stored rows of ``batch_rows``."""
+        if not n:
+            return
+        space = Workspace(self.spark, "slices")
         # all that share both hashes with an earlier row fall with it, whatever becomes of that row
-        both = ["f", *WORDS]
-        first = rows.filter("f is not null or h0 is not null").groupBy(*both).agg(F.min("ord").alias("ord"))
-        rows = space.keep(rows, "rows")
-        first = space.keep(first.select("ord", *both), "first")
-        vectors = space.keep(first.filter("h0 is not null").select(*WORDS).distinct(), "hashes")
-        near = space.keep(self.neighbours(vectors, self._loads_of(vectors)), "near")
-        a, b = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)]
-        as_hash = lambda cols: [F.col(c).alias(w) for c, w in zip(cols, WORDS, strict=True)]
-        left = first.join(near.filter("old").select(*as_hash(a)).distinct(), WORDS, "left_anti")
-        if self.has_files:
-            left = left.join(self.spark.table(self.files_table), "f", "left_anti")
-        left = space.keep(left, "left")
-        links = near.filter("not old")
-        edges = links.select(*a, *b).unionByName(links.select(*[F.col(y).alias(x) for x, y in zip(a + b, b + a, strict=True)]))
-        edges = space.keep(edges, "edges")
-        several_f = left.filter("f is not null").groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f", F.lit(True).alias("tf"))
-        several_h = left.filter("h0 is not null").groupBy(*WORDS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*WORDS)
-        tied_h = several_h.unionByName(edges.select(*as_hash(a))).distinct().withColumn("th", F.lit(True))
-        marked = space.keep(left.join(several_f, "f", "left").join(tied_h, WORDS, "left"), "marked")
-        tied = F.coalesce("tf", F.lit(False)) | F.coalesce("th", F.lit(False))
-        accepted = marked.filter(~tied).select("ord")
-        open_ = marked.filter(tied).select("ord", *both)
-        while True:
-            by_hash = open_.filter("h0 is not null").groupBy(*WORDS).agg(F.min("ord").alias("m"))
-            across = edges.join(by_hash.select(*[F.col(w).alias(c) for c, w in zip(b, WORDS, strict=True)], "m"), b).groupBy(*a).agg(F.min("m").alias("m2")).select(*as_hash(a), "m2")
-            first_h = by_hash.join(across, WORDS, "left").select(*WORDS, F.least("m", "m2").alias("mh"))
-            first_f = open_.filter("f is not null").groupBy("f").agg(F.min("ord").alias("mf"))
-            seen = open_.join(first_h, WORDS, "left").join(first_f, "f", "left")
-            wins = (F.col("mh").isNull() | (F.col("mh") == F.col("ord"))) & (F.col("mf").isNull() | (F.col("mf") == F.col("ord")))
-            winners = space.keep(seen.filter(wins).select("ord", *both), "winners")
-            accepted = accepted.unionByName(winners.select("ord"))
-            won = winners.filter("h0 is not null").select(*WORDS)
-            reach = edges.join(won.select(*[F.col(w).alias(c) for c, w in zip(a, WORDS, strict=True)]), a, "left_semi").select(*as_hash(b))
-            rest = open_.join(won.unionByName(reach).distinct(), WORDS, "left_anti").join(winners.filter("f is not null").select("f"), "f", "left_anti")
-            rest = rest.join(winners.filter("h0 is null and f is null").select("ord"), "ord", "left_anti")
-            open_ = space.keep(rest, "open")
-            if open_.isEmpty():
-                break
-        nameless = rows.filter("f is null and h0 is null").select("ord")
-        ok = accepted.unionByName(nameless).withColumn("accepted", F.lit(True))
-        return space.keep(rows.join(ok, "ord", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))), "decided")
-
-    def ingest(self, batch: DataFrame, store: bool = True) -> DataFrame:
-        """Decide a batch and append what is accepted. ``store=False`` leaves the index as it is."""
-        decided = self.probe(batch)
-        if store:
-            self.append(decided.filter("accepted"))
-        return decided
-
-
-def ingest_history(spark: SparkSession, images: DataFrame, growth: int = 4) -> DataFrame:
-    """Feed all batches in their order; (id) of the duplicates. Successive batches are taken
-    together up to ``growth`` times what was taken before, which changes no decision (the
-    order within stays), so their number grows with the logarithm of the rows."""
-    counts = images.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("batch_id").asc_nulls_first()).collect()  # one row per batch
-    index = DedupIndex(spark, sum(r.n for r in counts))
-    units: list[list] = []
-    taken = size = 0
-    for r in counts:
-        if units and size + r.n <= growth * taken:
-            units[-1].append(r.batch_id)
-            size += r.n
+        first = rows.filter("f is not null or h is not null").groupBy("f", "h").agg(F.min("ord").alias("ord"))
+        first = self._unknown(first.select("ord", "f", "h"))
+        bounds: list = [None]
+        if n > 2 * FIRST_SLICE:
+            first, n = self._kept(space, first, "first")
+            bounds = self._slices(first, n)
+        waiting, low = None, None
+        for high in bounds:
+            part = first if low is None else self._unknown(first.filter(F.col("ord") > F.lit(low)))
+            part = part if high is None else part.filter(F.col("ord") <= F.lit(high))
+            waiting = self._slice(space, part if waiting is None else part.unionByName(waiting), n if len(bounds) == 1 else None)
+            low = high
+        while waiting is not None:
+            waiting = self._slice(space, self._unknown(waiting), None)
+        space.drop()
+
+    def _unknown(self, rows: DataFrame) -> DataFrame:
+        """Rows (ord, f, h) whose file hash is not among the accepted ones."""
+        if not self.state["rows"]:
+            return rows
+        held = self.accepted.read(self._gens("rows")).select("mark")
+        return rows.withColumn("mark", self._mark(F.col("f"), F.col("ord"))).join(held, "mark", "left_anti").select("ord", "f", "h")
+
+    @staticmethod
+    def _kept(space: Workspace, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """A table written and the number of its rows, in one job."""
+        seen = Observation()
+        kept = space.keep(rows.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        n = _observed(seen, "n")
+        return kept, kept.count() if n is None else n
+
+    @staticmethod
+    def _slices(first: DataFrame, n: int) -> list[bytearray | None]:
+        """Upper bounds (of ord, the last is open) of the slices of a batch with ``n`` rows, from a
+        sample of some ten thousand keys; a slice's size is a matter of effort alone."""
+        held = sorted(bytes(r.ord) for r in first.filter(F.pmod(F.xxhash64("ord"), F.lit(max(1, n // 10_000))) == 0).select("ord").collect())
+        bounds, taken = [], FIRST_SLICE
+        while taken < n and held:
+            bounds.append(bytearray(held[min(len(held) - 1, len(held) * taken // n)]))
+            taken += GROWTH * taken
+        return [*bounds, None]
+
+    @staticmethod
+    def _mark(f: Column, key: Column) -> Column:
+        """What an accepted row is stored under: its file hash, or its key where it has none."""
+        return F.when(f.isNotNull(), F.concat(F.lit(bytearray(b"\x01")), f)).otherwise(F.concat(F.lit(bytearray(b"\x00")), key))
+
+    def _slice(self, space: Workspace, rows: DataFrame, n: int | None) -> DataFrame | None:
+        """Decide rows (ord, f, h), ``n`` of them, as far as their listed neighbours allow; returns those left, if any."""
+        if n is None:
+            rows, n = self._kept(space, rows, "slice")
+        vectors = rows.filter("h is not null").groupBy("h").agg(F.min("ord").alias("ord"))
+        links = self.matches(vectors, n)
+        free = late = None
+        if n > self.finish:
+            # rows without any tie are accepted as they are, of the others the first ``finish`` are decided now
+            links = space.keep(links, "links")
+            rows = rows.join(links.filter("old").select(F.col("a").alias("h")).distinct(), "h", "left_anti").select("ord", "f", "h")
+            links = links.filter("not old")
+            several = lambda c: rows.filter(f"{c} is not null").groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(c)
+            tied_h = several("h").unionByName(links.select(F.explode(F.array("a", "b")).alias("h"))).distinct().withColumn("th", F.lit(True))
+            marked = rows.join(tied_h, "h", "left").join(several("f").withColumn("tf", F.lit(True)), "f", "left")
+            marked = space.keep(marked.select("ord", "f", "h", (F.col("th").isNotNull() | F.col("tf").isNotNull()).alias("tied")), "marked")
+            free, rows = marked.filter("not tied").drop("tied"), marked.filter("tied").drop("tied")
+            if rows.count() > self.finish:
+                bound = F.lit(rows.orderBy("ord").limit(self.finish).agg(F.max("ord")).first()[0])
+                rows, late = rows.filter(F.col("ord") <= bound), rows.filter(F.col("ord") > bound)
+            links = links.join(rows.select(F.col("h").alias("a")).distinct(), "a", "left_semi").select("a", "b", "old", "upto")
+        # one task: at most ``finish`` rows, and of each at most ``listed`` links a place
+        one = lambda rows: rows.withColumn("one", F.lit(True)).groupBy("one")
+        told = one(rows).cogroup(one(links)).applyInPandas(decide, "ord binary, f binary, h binary, state int")
+        seen = Observation()
+        told = space.keep(told.observe(seen, F.count_if(F.col("state") == 2).alias("wait")), "told")
+        accepted = told.filter("state = 1").drop("state")
+        self._append(accepted if free is None else free.unionByName(accepted))
+        left_over = told.filter("state = 2").drop("state")
+        if late is not None:
+            return left_over.unionByName(late)
+        return None if _observed(seen, "wait") == 0 or left_over.isEmpty() else left_over
+
+    # -- appending -------------------------------------------------------------------
+    def _commit(self) -> None:
+        write_note(self.spark, self._note, self.state)
+
+    def _generation(self) -> int:
+        """A number that no write has had, noted before it is used, so that a write that broke off is never read."""
+        gen = self.state["next"]
+        self.state["next"] = gen + 1
+        self._commit()
+        return gen
+
+    def _append(self, rows: DataFrame) -> None:
+        """Add accepted rows (ord, f, h): a generation of pages and one of marks."""
+        gen = self._generation()
+        key = F.substring("ord", F.lit(6), F.octet_length("ord"))
+        marks = rows.select(self._mark(F.col("f"), F.col("ord")).alias("mark"), key.alias("key"))
+        n_rows, n_vectors = Observation(), Observation()
+        marks = marks.observe(n_rows, F.count(F.lit(1)).alias("n")).repartition(self.accepted.buckets, "mark")
+        vectors = rows.filter("h is not null").select("h").observe(n_vectors, F.count(F.lit(1)).alias("n"))
+        with ThreadPoolExecutor(2) as pool:  # two jobs that do not wait for one another
+            for job in (pool.submit(self.accepted.append, marks, gen), pool.submit(self._write_pages, vectors, gen)):
+                job.result()
+        sizes = {"rows": _observed(n_rows, "n"), "vectors": _observed(n_vectors, "n")}
+        if sizes["rows"] is None:
+            sizes["rows"] = self.accepted.read([gen]).count()
+        if sizes["vectors"] is None:
+            sizes["vectors"] = self.cells.read([gen]).filter("place = 0").agg(F.sum("n")).first()[0] or 0
+        for kind, n in sizes.items():
+            if n:
+                self.state[kind][str(gen)] = n
+        self._commit()
+        self._grow()
+        self._merge("vectors")
+        self._merge("rows")
+
+    def _write_pages(self, vectors: DataFrame, gen: int) -> None:
+        page = self.page
+
+        def pack(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(pack_pages(int(group["place"].iloc[0]), int(group["part"].iloc[0]), _matrix(group["h"]), page), columns=[c.split()[0] for c in PAGES.split(", ")])
+
+        # a hot bucket is packed in pieces of at most ``split`` vectors
+        pieces = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-self.size // self.split))))
+        self.cells.append(self._stored(vectors).groupBy("part", "place", pieces.alias("piece")).applyInPandas(pack, PAGES), gen)
+
+    def _merge(self, kind: str) -> None:
+        """Generations of one size class become one when there are ``merge`` of them."""
+        classes: dict[int, list[int]] = {}
+        for g, n in self.state[kind].items():
+            classes.setdefault(int(np.log(max(n, 1)) / np.log(self.merge)), []).append(int(g))
+        full = max(classes.values(), key=len, default=[])
+        if len(full) < self.merge:
+            return
+        n, gen = sum(self.state[kind][str(g)] for g in full), self._generation()
+        if kind == "rows":
+            self.accepted.append(self.accepted.read(full).repartition(self.accepted.buckets, "mark"), gen)
         else:
-            taken += size
-            units.append([r.batch_id])
-            size = r.n
-    found = None
-    for i, unit in enumerate(units):
-        lo, hi = unit[0], unit[-1]
-        within = F.col("batch_id").between(lo, hi) if lo is not None else (F.col("batch_id").isNull() | (F.col("batch_id") <= hi if hi is not None else F.lit(False)))
-        decided = index.ingest(images.filter(within), store=i < len(units) - 1)
-        part = decided.filter("not accepted").select(key_text(F.col("key")).alias("id"))
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else images.select("id").filter("false")
+            page = self.page
+
+            def merged(group: pd.DataFrame) -> pd.DataFrame:
+                return pd.DataFrame(pack_pages(int(group["place"].iloc[0]), int(group["part"].iloc[0]), _matrix(group["vectors"]), page), columns=[c.split()[0] for c in PAGES.split(", ")])
+
+            # by stretches of values, so that a hot bucket is merged in pieces
+            pieces = F.shiftright("lo", 16 - min(16, max(0, int(self.size // self.split).bit_length())))
+            self.cells.append(self.cells.read(full).groupBy("part", "place", pieces.alias("piece")).applyInPandas(merged, PAGES), gen)
+        for g in full:
+            del self.state[kind][str(g)]
+        self.state[kind][str(gen)] = n
+        self._commit()
+        (self.accepted if kind == "rows" else self.cells).discard(full)
+
+    def _grow(self) -> None:
+        """Split each bucket into four when they hold more than ``per_part`` vectors on the average."""
+        if self.size <= self.per_part << self.state["bits"] or self.state["bits"] >= 14:
+            return
+        cells, marks, n, n_rows = self.cells, self.accepted, self.size, sum(self.state["rows"].values())
+        pages = cells.read(self._gens("vectors")).filter("place = 0").select("vectors")
+        held = marks.read(self._gens("rows"))
+
+        def unpack(batches):
+            for batch in batches:
+                for vectors in batch["vectors"]:
+                    yield pd.DataFrame({"h": [vectors[i : i + 32] for i in range(0, len(vectors), 32)]})
+
+        gen = self._generation()
+        self.state |= {"bits": self.state["bits"] + 2, "layout": gen}
+        self._open_tables()
+        self._write_pages(pages.mapInPandas(unpack, "h binary"), gen)
+        self.accepted.append(held.repartition(self.accepted.buckets, "mark"), gen)
+        self.state |= {"vectors": {str(gen): n}, "rows": {str(gen): n_rows}}
+        self._commit()
+        for old in (cells, marks):
+            old.close()
+            self.space.drop(old.path)
+
+
+def batch_rows(images: DataFrame) -> DataFrame:
+    """(key, b, ord, f, h): each id once. ``ord`` is the batch in five bytes that sort as numbers do, null
+    first, and the key, so rows are ordered by comparing bytes."""
+    rows = images.select(id_key(F.col("id")).alias("key"), F.col("batch_id").cast("int").alias("b"), F.col("file_hash").alias("f"), whole_hash(F.col("pdq_hash")).alias("h"))
+    rows = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("b", "f", "h")).alias("r")).select("key", "r.b", "r.f", "r.h")
+    number = F.unhex(F.lpad(F.hex(F.coalesce(F.col("b").cast("long") + (1 << 31) + 1, F.lit(0).cast("long"))), 10, "0"))
+    return rows.select("key", "b", F.concat(number, F.col("key")).alias("ord"), "f", "h")
+
+
+def ingest_history(spark: SparkSession, images: DataFrame, path: str | None = None, **layout) -> DataFrame:
+    """Feed all batches one after the other, each stored before the next; (id) of the duplicates.
+    With ``path`` the index stays there and can be opened again; else it is deleted at the end."""
+    index = DedupIndex(spark, path, **layout)
+    space = Workspace(spark, "history")
+    rows = batch_rows(images).repartitionByRange("b", "key").withColumn("batch", F.coalesce("b", F.lit(-(2**31))))
+    rows = space.keep(rows, "rows", ["batch"])
+    sizes = {r.batch: r.n for r in rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per batch
+    for no in sorted(sizes):
+        index.ingest_rows(rows.filter(F.col("batch") == no).drop("batch"), sizes[no])
+    found = index.decided(rows).filter("not accepted").select(key_text(F.col("key")).alias("id"))
+    found = space.keep(found, "found")
+    index.drop() if path is None else index.close()
+    return found

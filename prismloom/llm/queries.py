@@ -10,7 +10,25 @@ from . import copies, cutoffs, dedup, mixing, packing, pii
 llm = Registry()
 
 
-@llm.add("p3_found", covers="P3")
+_DUPLICATES = """
+with recursive i as (
+  select id, coalesce(batch_id, -2147483649) as b, min(file_hash) as f, min(case when octet_length(pdq_hash) = 32 then pdq_hash end)::bit as h from lance_images group by 1, 2
+), pairs as (
+  select x.id as x, y.id as y from i x join i y on x.f = y.f where (x.b, x.id) < (y.b, y.id)
+  union
+  select x.id, y.id from i x join i y on (x.b, x.id) < (y.b, y.id) and bit_count(xor(x.h, y.h)) <= 31
+), r(n, id, st) as (
+  select 0, id, 'open' from (select x as id from pairs union select y from pairs)
+  union all
+  select p.n + 1, p.id, case when p.st <> 'open' then p.st when e.hit then 'duplicate' when not coalesce(e.live, false) then 'accepted' else 'open' end
+  from (select *, count(*) filter (where st = 'open') over () as n_open from r) p
+    left join (select y as id, bool_or(st = 'accepted') as hit, bool_or(st <> 'duplicate') as live from pairs join r on r.id = pairs.x group by 1) e on e.id = p.id
+  where p.n_open > 0
+)
+select id from r where st = 'duplicate' and n = (select max(n) from r)"""
+
+
+@llm.add("p3_found", _DUPLICATES, "P3")
 def p3_found(spark, sf_dir):
     return dedup.ingest_history(spark, table(spark, sf_dir, "lance_images"))
 

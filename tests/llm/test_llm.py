@@ -65,30 +65,64 @@ def found(spark, rows, **kw):
 
 @pytest.mark.parametrize("seed", [1])
 def test_dedup_equals_greedy(spark, seed):
-    rows = hashes(seed, 260, 25)
+    rows = hashes(seed, 260, 25, batches=4)
     assert found(spark, rows) == greedy(rows)
 
 
-def test_small_batch_meets_only_its_slots(spark):
-    """A small batch against a larger history: same decisions, few stored postings read."""
+def duplicates(spark, index, rows):
+    return {r.id for r in index.ingest(spark.createDataFrame(rows, IMAGES)).filter("not accepted").select(dedup.key_text(F.col("key")).alias("id")).collect()}
+
+
+def test_index_opens_again(spark, tmp_path):
+    """A second index over the folder, after the first has left the catalog, knows all that was accepted;
+    a write that broke off before its commit is not part of it."""
+    rows = hashes(7, 300, 30, batches=2)
+    late = [(f"z{i}", 9, None, p, "x") for i, p in enumerate(r[3] for r in rows[:6]) if p is not None] + [("zz", 9, None, bytes(range(32)), "x"), ("zf", 9, rows[0][2] or b"f", None, "x")]
+    path = f"file://{tmp_path}/index"
+    index = dedup.DedupIndex(spark, path)
+    duplicates(spark, index, rows)
+    index.accepted.append(spark.createDataFrame([(b"\x01lost", b"k")], dedup.ACCEPTED), index._generation())
+    index.close()
+    again = dedup.DedupIndex(spark, path)
+    assert again.size == index.size and b"\x01lost" not in {bytes(r.mark) for r in again.accepted.read(again._gens("rows")).collect()}
+    assert duplicates(spark, again, late) == {i for i in greedy(rows + late) if i.startswith("z")}
+    again.drop()
+    assert dedup.DedupIndex(spark, path).size == 0
+
+
+def test_small_batch_meets_only_its_pages(spark):
+    """A small batch against a larger history: same decisions, few stored pages read."""
     rows = hashes(7, 400, 30, batches=2)
     late = [(f"z{i}", 9, None, p, "x") for i, p in enumerate(r[3] for r in rows[:6]) if p is not None] + [("zz", 9, None, bytes(range(32)), "x")]
-    index = dedup.DedupIndex(spark, 400)
-    index.ingest(spark.createDataFrame(rows, IMAGES))
+    index = dedup.DedupIndex(spark, page=4)
+    duplicates(spark, index, rows)
     read = []
     whole = index._worth_reading
-    index._worth_reading = lambda v: read.append(whole(v)) or read[-1]
-    decided = index.ingest(spark.createDataFrame(late, IMAGES))
-    want = greedy(rows + late)
-    assert {r.id for r in decided.filter("not accepted").select(dedup.key_text(F.col("key")).alias("id")).collect()} == {i for i in want if i.startswith("z")}
-    assert read[0].count() < spark.table(index.cells_table).count() / 3
+    index._worth_reading = lambda v, n: read.append(whole(v, n)) or read[-1]
+    assert duplicates(spark, index, late) == {i for i in greedy(rows + late) if i.startswith("z")}
+    assert read[0].count() < index.cells.read(index._gens("vectors")).count() / 2
 
 
-def test_dedup_in_small_units_and_split_cells(spark, monkeypatch):
-    rows = hashes(3, 150, 10, batches=4)
-    made = dedup.DedupIndex.__init__
-    monkeypatch.setattr(dedup.DedupIndex, "__init__", lambda self, s, n, **kw: made(self, s, n, per_bucket=400, split=4))
-    assert found(spark, rows, growth=0) == greedy(rows)
+def test_growing_hot_and_merged_index(spark, monkeypatch):
+    """Buckets that split, hot buckets in blocks, merged generations, several slices, cut lists and rows put off."""
+    monkeypatch.setattr(dedup, "FIRST_SLICE", 20)
+    monkeypatch.setattr(dedup, "GROWTH", 2)
+    rows = hashes(3, 160, 8, batches=3)
+    assert found(spark, rows, per_part=30, split=40, page=8, merge=2, finish=25, listed=2) == greedy(rows)
+
+
+def test_one_group_of_near_duplicates_lists_few_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        bits = np.zeros(256, np.uint8)
+        bits[rng.choice(256, 12, replace=False)] = 1
+        rows.append((f"n{i:04d}", 1, None, np.packbits(bits).tobytes(), "x"))
+    index = dedup.DedupIndex(spark, listed=3)
+    vectors = dedup.batch_rows(spark.createDataFrame(rows, IMAGES)).groupBy("h").agg(F.min("ord").alias("ord"))
+    links = index.matches(vectors, 300)
+    assert links.count() <= 300 * 3 * dedup.PLACES
+    assert found(spark, rows, listed=3) == greedy(rows)
 
 
 def test_dedup_odd_rows(spark):
@@ -103,8 +137,8 @@ def test_dedup_odd_rows(spark):
     assert len(found(spark, third)) == 599
 
 
-def test_every_cell_match_is_met():
-    """The probe meets all pairs within 31 bits, however the bits lie."""
+def test_every_match_is_met():
+    """The probes meet all pairs within 31 bits, however the bits lie, and list each once."""
     import pandas as pd
 
     rng = np.random.default_rng(5)
@@ -113,13 +147,14 @@ def test_every_cell_match_is_met():
     for i in range(40):
         flips[i, rng.choice(256, 31 if i < 30 else 32, replace=False)] = 1
     b = np.packbits(np.unpackbits(a, axis=1) ^ flips, axis=1)
-    every = np.vstack([a, b])
-    words = every.reshape(-1).view(">u8").astype(np.uint64).reshape(-1, 4).view(np.int64)
-    frames = [pd.DataFrame({"cell": p * 256 + every[:, p].astype(np.int64), **{f"h{i}": words[:, i] for i in range(4)}, "is_query": True, "is_stored": True}) for p in range(32)]
-    none = pd.DataFrame({"cell": np.zeros(0, np.int64), **{f"h{i}": np.zeros(0, np.int64) for i in range(4)}})
-    got = dedup.match_cells(pd.concat(frames), none)
-    pairs = {tuple(sorted([tuple(r[:4]), tuple(r[4:8])])) for r in got.itertuples(index=False)}
-    assert len(pairs) == len(got) == 30
+    every = [v.tobytes() for v in np.vstack([a, b])]
+    none = pd.DataFrame({"vectors": pd.Series(dtype=object)})
+    frames = [dedup.match_part(pd.DataFrame({"place": p, "h": every, "ord": every, "is_query": True, "is_stored": True}), none) for p in range(dedup.PLACES)]
+    got = [(r.a, r.b) for f in frames for r in f.itertuples()]
+    assert len(got) == len(set(got)) == 60 and len({frozenset(p) for p in got}) == 30
+    stored = pd.DataFrame({"vectors": [b"".join(v.tobytes() for v in b)]})
+    met = {r.a for p in range(dedup.PLACES) for r in dedup.match_part(pd.DataFrame({"place": p, "h": [v.tobytes() for v in a], "ord": every[:40], "is_query": True, "is_stored": True}), stored).itertuples() if r.old}
+    assert len(met) == 30
 
 
 # -- 4: cutoffs ----------------------------------------------------------------------
