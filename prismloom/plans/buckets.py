@@ -19,21 +19,25 @@ from .storage import delete, exists
 
 
 class BucketedTable:
-    def __init__(self, spark: SparkSession, path: str, columns: str, by: str, buckets: int):
-        """``columns`` as in a DDL schema, ``by`` the bucket column."""
+    def __init__(self, spark: SparkSession, path: str, columns: str, by: str, buckets: int, ordered: bool = False):
+        """``columns`` as in a DDL schema with ", " between columns only, ``by`` the bucket column, by which
+        the rows of a file are sorted where ``ordered``."""
         self.spark, self.path, self.by, self.buckets = spark, path, by, buckets
         self.name = f"prismloom_{hashlib.md5(path.encode()).hexdigest()[:20]}"
         self._names = [c.split()[0] for c in columns.split(", ")]
-        spark.sql(f"create table if not exists {self.name} ({columns}, gen bigint) using parquet partitioned by (gen) clustered by ({by}) into {buckets} buckets location '{path}'")
+        spark.sql(f"create table if not exists {self.name} ({columns}, gen bigint) using parquet partitioned by (gen) clustered by ({by}){f' sorted by ({by})' if ordered else ''} into {buckets} buckets location '{path}'")
         if exists(spark, path):
             spark.catalog.recoverPartitions(self.name)
 
-    def append(self, rows: DataFrame, gen: int) -> None:
-        """Add a generation; rows that are not yet in buckets are shuffled into them by the caller."""
-        rows.select(*self._names, F.lit(gen).cast("long").alias("gen")).write.insertInto(self.name)
+    def append(self, rows: DataFrame, gen: int | None = None) -> None:
+        """Add a generation, or those that a column ``gen`` names; rows that are not yet in buckets are
+        shuffled into them by the caller."""
+        number = F.col("gen") if gen is None else F.lit(gen)
+        rows.select(*self._names, number.cast("long").alias("gen")).write.insertInto(self.name)
 
-    def read(self, gens: list[int]) -> DataFrame:
-        return self.spark.table(self.name).filter(F.col("gen").isin(gens)).drop("gen")
+    def read(self, gens: list[int], keep_gen: bool = False) -> DataFrame:
+        rows = self.spark.table(self.name).filter(F.col("gen").isin(gens))
+        return rows if keep_gen else rows.drop("gen")
 
     def discard(self, gens: list[int]) -> None:
         """Delete generations that a newer one holds."""

@@ -57,13 +57,39 @@ def test_typed_columns_upsert_and_compaction(spark):
     table.upsert(make((UUID(5), "clip_score", "a", 0.25, None, at(3), None)))
     table.upsert(spark.createDataFrame([], SA))
     before = {tuple(r) for r in table.read().collect()}
-    table.compact()
+    assert len(table.runs) == 3  # an empty batch leaves no run
+    table.compact(whole=True)
     assert len(table.runs) == 1
     after = {tuple(r) for r in table.read().collect()}
     assert before == after == {("a", 0.25, True, 4, None), ("b", None, None, None, "x")}
     assert dict(table.read().dtypes) == {"sequence_id": "string", "clip_score": "double", "is_usable": "boolean", "object_count": "bigint", "scene_tag": "string"}
 
 
+def test_wide_table_opens_again_and_keeps_the_newest(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(rows, SA)
+    path = f"file://{tmp_path}/wide"
+    table = eav.WideTable(spark, eav.attributes_of(types(spark)), path, fan=2)
+    table.upsert(make((UUID(1), "object_count", "a", None, "9007199254740993", at(5), None), (UUID(2), "clip_score", "b", 0.5, None, at(2), None)))
+    table.close()
+    again = eav.WideTable(spark, eav.attributes_of(types(spark)), path, fan=2)
+    # an old value that arrives late loses, a newer one wins; a number of more than 64 bits is a cell without value
+    again.upsert(make((UUID(3), "object_count", "a", None, "1", at(1), None), (UUID(4), "clip_score", "b", 0.25, None, at(3), None), (UUID(5), "object_count", "c", 1e30, None, at(1), None)))
+    assert len(again.runs) == 2
+    again.compact()
+    assert len(again.runs) == 1
+    assert {(r.sequence_id, r.clip_score, r.object_count) for r in again.read().collect()} == {("a", None, 9007199254740993), ("b", 0.25, None), ("c", None, None)}
+    assert {(r.sequence_id, r.annotation_id) for r in again.cell_sources().collect()} == {("a", UUID(1)), ("b", UUID(4)), ("c", UUID(5))}
+
+
+def test_compaction_moves_no_row(spark):
+    table = eav.WideTable(spark, eav.attributes_of(types(spark)))
+    for day in (1, 2):
+        table.upsert(spark.createDataFrame([(UUID(day), "clip_score", "a", 0.5, None, at(day), None)], SA))
+    merged = table.merged()
+    merged.collect()
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
 def tables(spark, elements=(), labels=(), images=(), annotations=(), creators=(), deleted=()):
     frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
     return {
