@@ -31,6 +31,11 @@ ARRIVALS = {"lance_images": "ingested_at", "texts": "ingested_at", "sample_annot
 TABLES = list(ARRIVALS)
 
 
+def _sources() -> Column:
+    """Names of the referring tables by their number."""
+    return F.array(F.lit("sample_annotation_elements"), F.lit("annotations"))
+
+
 def _code(table: Column) -> Column:
     lookup = F.create_map(*[F.lit(x) for i, t in enumerate(TABLES) for x in (t, i)])
     return lookup[table].cast("tinyint")
@@ -83,9 +88,8 @@ def direct_orphans(refs: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def render(orphans: DataFrame) -> DataFrame:
-    sources = F.array(F.lit("sample_annotation_elements"), F.lit("annotations"))
     return orphans.select(
-        sources[F.col("src").cast("int")].alias("ref_table"),
+        _sources()[F.col("src").cast("int")].alias("ref_table"),
         key_text(F.col("ref")).alias("ref_id"),
         "role",
         key_text(F.col("key")).alias("target_id"),
@@ -94,55 +98,42 @@ def render(orphans: DataFrame) -> DataFrame:
     )
 
 
-def find_orphans(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every unsound reference: ref_table, ref_id, role, target_id, period, status."""
-    refs = references(tables["sample_annotation_elements"], tables["annotations"])
-    states = target_states({t: tables[t] for t in TABLES}, tables["deleted_ids"])
-    return render(direct_orphans(refs, states))
-
-
-def _layers(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """The direct orphans of every status, and the cascade that those of ``unsound`` set off, by depth."""
+def cascade(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[str, ...] = ("deleted", "missing")) -> DataFrame:
+    """Every unsound reference and all that hang below: src, ref, role, tab, key, at, status, depth.
+    Depth 0 are the direct orphans with their status ('deleted', 'missing', 'late'); below those of
+    ``unsound`` hang the 'inherited' ones, found layer by layer until none is new. A late target
+    exists by now, so by default it orphans nothing; a late reference that also hangs below an
+    orphan is in both. Cycles end, as a record is reached once."""
     space = Workspace(spark, "orphans")
-    refs = space.keep(references(tables["sample_annotation_elements"], tables["annotations"]), "refs")
+    refs = references(tables["sample_annotation_elements"], tables["annotations"])
     states = target_states({t: tables[t] for t in TABLES}, tables["deleted_ids"])
     direct = space.keep(direct_orphans(refs, states), "direct")
-    found = direct.filter(F.col("status").isin(*unsound)).select("src", "ref", "role", "tab", "key", "at", F.lit(0).alias("depth"))
-    down = refs.filter(F.col("tab") == TABLES.index("sample_annotations"))
+    seeds = direct.filter(F.col("status").isin(*unsound))
+    # the edges a layer can go down: references to sample annotations that are no seeds themselves
     edge = ["src", "ref", "role", "tab", "key"]
-    frontier, depth = found.filter("src = 0").select("ref").distinct(), 0
-    reached = frontier
+    below = references(tables["sample_annotation_elements"].filter(F.lower(F.trim(F.col("element_type"))) == "sample_annotation"), tables["annotations"].limit(0))
+    down = space.keep(below.join(seeds.filter(F.col("tab") == TABLES.index("sample_annotations")), edge, "left_anti"), "down")
+    frontier = seeds.filter("src = 0").select(F.col("ref").alias("key")).distinct()
+    found, reached, depth = direct.withColumn("depth", F.lit(0)), frontier, 0
     while True:
         depth += 1
-        named = frontier.withColumnRenamed("ref", "key")
-        hits = down.join(named, "key", "left_semi").join(found.select(*edge), edge, "left_anti")
-        layer = space.keep(hits.select("src", "ref", "role", "tab", "key", "at", F.lit(depth).alias("depth")), "layer")
-        if layer.isEmpty():
-            break
-        frontier = space.keep(layer.filter("src = 0").select("ref").distinct().join(reached, "ref", "left_anti"), "frontier")
+        layer = space.keep(down.join(frontier, "key", "left_semi").select(*edge, "at", F.lit("inherited").alias("status"), F.lit(depth).alias("depth")), "layer")
+        # an edge is met once, as its key is in one frontier only
+        frontier = space.keep(layer.select(F.col("ref").alias("key")).distinct().join(reached, "key", "left_anti"), "frontier")
         found = found.unionByName(layer)
+        if frontier.isEmpty():
+            return found
         reached = reached.unionByName(frontier)
-    return direct, found
 
 
-def cascade(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[str, ...] = ("deleted", "missing")) -> DataFrame:
-    """Direct and inherited orphan references: ref_table, ref_id, role, target_id, period,
-    origin ('direct' or 'inherited') and depth. A late target exists by now, so by
-    default it orphans nothing below it. Cycles end, as a record is reached once."""
-    _, found = _layers(spark, tables, unsound)
-    origin = F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("status")
-    return render(found.withColumn("status", origin)).withColumnRenamed("status", "origin")
+def find_orphans(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """Every unsound reference, the first layer of the cascade: ref_table, ref_id, role, target_id, period, status."""
+    return render(cascade(spark, tables).filter("depth = 0"))
 
 
 def orphan_report(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """Direct and inherited orphan references per table and month."""
-    return cascade(spark, tables).groupBy("ref_table", "period", "origin").agg(F.count(F.lit(1)).alias("n"))
-
-
-def status_report(spark: SparkSession, tables: dict[str, DataFrame], unsound: tuple[str, ...] = ("deleted", "missing")) -> DataFrame:
-    """Every unsound reference per table, month and status ('deleted', 'missing', 'late'), as
-    ``find_orphans`` lists them, and the references 'inherited' from those of ``unsound``. A late
-    reference that also hangs below an orphan counts under both."""
-    direct, found = _layers(spark, tables, unsound)
-    below = found.filter("depth > 0").drop("depth").withColumn("status", F.lit("inherited"))
-    return render(direct.unionByName(below)).groupBy("ref_table", "period", "status").agg(F.count(F.lit(1)).alias("n"))
+    """Unsound references per table, month, origin ('direct' or 'inherited') and status."""
+    found = cascade(spark, tables)
+    origin = F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("origin")
+    shown = found.select(_sources()[F.col("src").cast("int")].alias("ref_table"), F.date_format("at", "yyyy-MM").alias("period"), origin, "status")
+    return shown.groupBy("ref_table", "period", "origin", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -20,10 +20,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.storage import Workspace
+
 LINKS = ("parent_table", "parent_path", "path", "is_null")
 
 
@@ -157,13 +159,18 @@ def latest_export(rows: DataFrame, key: str = "sequence_id", version: str = "cre
     """Of several rows of a key the one with the latest version (null is earliest; among
     equals the one with the greatest content hash). The filter on rank 1 lets Spark
     prune within each map task first, so a hot key never reaches one reducer whole."""
-    from pyspark.sql import Window
-
     payload = F.xxhash64(*[F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in rows.schema.fields])
     order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.col("__h").desc())
     return rows.withColumn("__h", payload).withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__h")
 
 
+def shred_latest(spark: SparkSession, rows: DataFrame, key: str, root: str) -> dict[str, DataFrame]:
+    """The tables of the latest exports. These are decided once and written between, in the key's
+    order, so that each table reads its own columns of what is left and none sorts the exports again."""
+    held = Workspace(spark, "shred").keep(latest_export(rows, key), "latest")
+    return shred(held, [key], root)
+
+
 def resolve_members(tables: dict[str, DataFrame], root: str = "seq") -> DataFrame:
     """Each non-null choice item with the members of its sequence that carry its index:
     sequence_id, choice_no, item_no, element_id ('' where none matches)."""

@@ -106,32 +106,12 @@ found as (
 
 @general.add("p2_found", _ORPHANS + "select ref_table, ref_id, role, target_id, strftime(ts, '%Y-%m') as period, status from found where status is not null", "P2")
 def p2_found(spark, sf_dir):
-    return orphans.find_orphans({t: table(spark, sf_dir, t) for t in ORPHAN_TABLES})
+    return orphans.find_orphans(spark, {t: table(spark, sf_dir, t) for t in ORPHAN_TABLES})
 
 
 @general.add(
     "p2_report",
     _ORPHANS
-    + """, direct as (select * from found where status in ('deleted', 'missing')),
-bad(id) as (
-  select distinct ref_id from direct where ref_table = 'sample_annotation_elements'
-  union
-  select r.ref_id from refs r join bad b on r.tab = 'sample_annotations' and r.target_id = b.id
-), inherited as (
-  select r.* from refs r where r.tab = 'sample_annotations' and r.target_id in (select id from bad)
-    and not exists (select 1 from direct d where d.ref_table = r.ref_table and d.ref_id = r.ref_id and d.role = r.role and d.tab = r.tab and d.target_id = r.target_id)
-)
-select ref_table, strftime(ts, '%Y-%m') as period, 'direct' as origin, count(*) as n from direct group by all
-union all select ref_table, strftime(ts, '%Y-%m'), 'inherited', count(*) from inherited group by all""",
-    "P2",
-)
-def p2_report(spark, sf_dir):
-    return orphans.orphan_report(spark, {t: table(spark, sf_dir, t) for t in ORPHAN_TABLES})
-
-
-@general.add(
-    "p2_status_report",
-    _ORPHANS
     + """, direct as (select * from found where status is not null),
 bad(id) as (
   select distinct ref_id from direct where ref_table = 'sample_annotation_elements' and status <> 'late'
@@ -141,12 +121,12 @@ bad(id) as (
   select r.* from refs r where r.tab = 'sample_annotations' and r.target_id in (select id from bad)
     and not exists (select 1 from direct d where d.status <> 'late' and d.ref_table = r.ref_table and d.ref_id = r.ref_id and d.role = r.role and d.tab = r.tab and d.target_id = r.target_id)
 )
-select ref_table, strftime(ts, '%Y-%m') as period, status, count(*) as n from direct group by all
-union all select ref_table, strftime(ts, '%Y-%m'), 'inherited', count(*) from inherited group by all""",
+select ref_table, strftime(ts, '%Y-%m') as period, 'direct' as origin, status, count(*) as n from direct group by all
+union all select ref_table, strftime(ts, '%Y-%m'), 'inherited', 'inherited', count(*) from inherited group by all""",
     "P2",
 )
-def p2_status_report(spark, sf_dir):
-    return orphans.status_report(spark, {t: table(spark, sf_dir, t) for t in ORPHAN_TABLES})
+def p2_report(spark, sf_dir):
+    return orphans.orphan_report(spark, {t: table(spark, sf_dir, t) for t in ORPHAN_TABLES})
 
 
 _LATEST = """
@@ -161,8 +141,7 @@ with latest as (
 
 
 def _flat(spark, sf_dir):
-    rows = shred.latest_export(table(spark, sf_dir, "sequences_data"))
-    return shred.shred(rows, ["sequence_id"], "seq")
+    return shred.shred_latest(spark, table(spark, sf_dir, "sequences_data"), "sequence_id", "seq")
 
 
 @general.add(

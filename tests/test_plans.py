@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from prismloom.operators import eav, orphans, shred
 from prismloom.operators.store import StoreViews
 from prismloom.plans.skew import HEAVY_SHARE, join_by_weight
@@ -38,13 +40,13 @@ def test_latest_rows_are_pruned_before_the_shuffle(spark):
 
 def test_references_are_reduced_before_they_meet(spark):
     tables = {t: spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("sample_annotation_elements", "annotations", "lance_images", "texts", "sample_annotations", "creators", "deleted_ids")}
-    text = plan(orphans.find_orphans(tables))
+    text = plan(orphans.direct_orphans(orphans.references(tables["sample_annotation_elements"], tables["annotations"]), orphans.target_states({t: tables[t] for t in orphans.TABLES}, tables["deleted_ids"])))
     assert "partial_min" in text and "Python" not in text
 
 
 def test_cells_stay_in_the_jvm(spark):
     rows = spark.read.parquet(f"{FOLDER}/sample_annotations.parquet")
-    text = plan(eav.read_cells(rows, eav.attributes_of(spark.read.parquet(f"{FOLDER}/attribute_types.parquet"))))
+    text = plan(eav.read_cells(rows, eav.attributes_of(spark.read.parquet(f"{FOLDER}/attribute_types.parquet")), F.lit(0)))
     assert "Python" not in text and "hashpartitioning" not in text
 
 
