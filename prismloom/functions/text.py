@@ -136,17 +136,20 @@ def image_urls(col: Column) -> Column:
 
 
 def clean_caption(col: Column, terms: tuple[str, ...] = STYLE_TERMS, longest: int = 240) -> Column:
-    """Without quotes at its ends and without style terms, with single blanks, cut at ``longest``;
-    the stripped original where nothing is left; '' for null."""
-    quotes = "\"'`‘’“”"
-    whole = strip(F.coalesce(col, F.lit("")))
-    text = F.regexp_replace(whole, rf"(?U)^[{quotes}\s]+|[{quotes}\s]+$", "")
-    for term in terms:
-        text = F.regexp_replace(text, rf"(?iU)(?:{term})(?:\s*(?:风格|风))?", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"\s*([,.;:!?])\s*", "$1 ")
-    text = F.regexp_replace(text, r"\s+$", "")
-    cut = F.regexp_replace(F.left(text, F.lit(longest)), r"[,.;:!? ]+$", "")
-    return F.coalesce(F.nullif(F.when(F.length(text) > longest, cut).otherwise(text), F.lit("")), whole)
+    """A content caption without quotes at its ends and without style words (each with a
+    following 风), its words parted by single blanks and its marks followed by one, at most
+    ``longest`` characters. Where no word is left the caption as it came, '' for null.
+
+    The words are taken as tokens: one pattern removes all style terms, longer ones first, one splits
+    at blanks, and joining the tokens gives the spacing."""
+    given = F.trim(F.coalesce(col, F.lit("")))
+    by_length = sorted(terms, key=len, reverse=True)
+    bare = F.regexp_replace(given, f"(?iU)({'|'.join(by_length)})\\s*风?格?", " ")
+    tokens = F.filter(F.split(F.regexp_replace(bare, r"([,.;:!?])", "$1 "), r"(?U)\s+"), lambda t: t != "")
+    line = F.array_join(tokens, " ")
+    tight = F.regexp_replace(F.regexp_replace(line, " (?=[,.;:!?])", ""), "^[\"'`‘’“” ]+|[\"'`‘’“” ]+$", "")
+    short = F.when(F.length(tight) > longest, F.rtrim(F.left(tight, F.lit(longest)), F.lit(" ,.;:!?"))).otherwise(tight)
+    return F.when(short.rlike(r"[\p{L}\p{N}]"), short).otherwise(strip(F.coalesce(col, F.lit(""))))
 
 
 def cyclic_sentence(caption: Column, sentences: list[str], position: Column) -> Column:

@@ -47,10 +47,11 @@ def top_scores(annotations: DataFrame, name: str, above: float, k: int) -> DataF
 
 
 def export(annotations: DataFrame, creators: DataFrame, elements: DataFrame, how: str = "inner") -> DataFrame:
-    """A row per annotation and element ('inner'), or also annotations without elements ('left')."""
+    """A row per annotation and element ('inner'), or also annotations without elements ('left').
+    NaN is no value here either and comes out as null, as CSV and JSON cannot tell it."""
     names = creators.select(F.col("id").alias("creator_id"), F.col("name").alias("creator_name"))
     on = elements.select(F.col("sample_annotation_id").alias("id"), "element_id", "element_type", "role")
-    return annotations.join(names, "creator_id", how).join(on, "id", how).select("id", "name", "sequence_id", "value_float", "value_json", "creator_name", "element_id", "element_type", "role")
+    return annotations.join(names, "creator_id", how).join(on, "id", how).select("id", "name", "sequence_id", F.nullif("value_float", F.lit(float("nan")).cast("float")).alias("value_float"), "value_json", "creator_name", "element_id", "element_type", "role")
 
 
 def annotated_twice(annotations: DataFrame, elements: DataFrame, first: tuple[str, float], second: tuple[str, float]) -> DataFrame:

@@ -164,8 +164,11 @@ def bind_annotations(annotations: DataFrame) -> tuple[DataFrame, DataFrame, Data
 
 
 def split_value(value: Column) -> tuple[Column, Column]:
-    """A JSON value: numbers and booleans go to value_float, all else to value_json."""
-    number = F.when(F.trim(value) == "true", 1.0).when(F.trim(value) == "false", 0.0).otherwise(value.try_cast("double"))
+    """A JSON value: finite numbers and booleans go to value_float, all else (also what some parsers
+    take for NaN or infinity) to value_json."""
+    double = value.try_cast("double")
+    double = F.when(~F.isnan(double) & (F.abs(double) < F.lit(float("inf"))), double)
+    number = F.when(F.trim(value) == "true", 1.0).when(F.trim(value) == "false", 0.0).otherwise(double)
     return number.cast("float"), F.when(number.isNull(), value)
 
 

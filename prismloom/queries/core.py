@@ -233,13 +233,13 @@ def high_scores_topk(spark, d):
     return ann.top_scores(StoreViews(spark, d).sample_annotations(), "aesthetic_score", 0.7, 100)
 
 
-@core.add("annotation_export", STORE + " select sa.id, sa.name, sa.sequence_id, sa.value_float, sa.value_json, c.name as creator_name, el.element_id, el.element_type, el.role from sa join creators c on c.id = sa.creator_id join el on el.sample_annotation_id = sa.id", "JN-10 SNK-5")
+@core.add("annotation_export", STORE + " select sa.id, sa.name, sa.sequence_id, case when not isnan(sa.value_float) then sa.value_float end as value_float, sa.value_json, c.name as creator_name, el.element_id, el.element_type, el.role from sa join creators c on c.id = sa.creator_id join el on el.sample_annotation_id = sa.id", "JN-10 SNK-5")
 def annotation_export(spark, d):
     v = StoreViews(spark, d)
     return ann.export(v.sample_annotations(), v.creators(), v.elements())
 
 
-@core.add("annotation_export_elements", STORE + " select sa.id, sa.name, sa.sequence_id, sa.value_float, sa.value_json, c.name as creator_name, el.element_id, el.element_type, el.role from sa left join creators c on c.id = sa.creator_id left join el on el.sample_annotation_id = sa.id", "JN-10")
+@core.add("annotation_export_elements", STORE + " select sa.id, sa.name, sa.sequence_id, case when not isnan(sa.value_float) then sa.value_float end as value_float, sa.value_json, c.name as creator_name, el.element_id, el.element_type, el.role from sa left join creators c on c.id = sa.creator_id left join el on el.sample_annotation_id = sa.id", "JN-10")
 def annotation_export_elements(spark, d):
     v = StoreViews(spark, d)
     return ann.export(v.sample_annotations(), v.creators(), v.elements(), "left")

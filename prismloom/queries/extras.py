@@ -49,9 +49,9 @@ def annotation_rows(spark, d):
     return made.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("creator_id").alias("n_creators"))
 
 
-@q("split_values", "select id, case when try_cast(value_json as double) is not null then try_cast(value_json as double) when trim(value_json) = 'true' then 1.0 when trim(value_json) = 'false' then 0.0 end::float::double as number, case when try_cast(value_json as double) is null and trim(value_json) not in ('true', 'false') then value_json end as text from (select distinct id, value_json from sample_annotations where value_json is not null and not regexp_matches(lower(value_json), 'nan|inf'))", "DML-8")
+@q("split_values", "select id, case when isfinite(try_cast(value_json as double)) then try_cast(value_json as double) when trim(value_json) = 'true' then 1.0 when trim(value_json) = 'false' then 0.0 end::float::double as number, case when not coalesce(isfinite(try_cast(value_json as double)), false) and trim(value_json) not in ('true', 'false') then value_json end as text from (select distinct id, value_json from sample_annotations where value_json is not null)", "DML-8")
 def split_values(spark, d):
-    rows = table(spark, d, "sample_annotations").filter("value_json is not null").filter(~F.lower("value_json").rlike("nan|inf")).select("id", "value_json").distinct()
+    rows = table(spark, d, "sample_annotations").filter("value_json is not null").select("id", "value_json").distinct()
     number, text = store.split_value(F.col("value_json"))
     return rows.select("id", number.cast("double").alias("number"), text.alias("text"))
 
@@ -96,9 +96,9 @@ def language_captions(spark, d):
     return rows.select("id", views.caption_for_language(tx.path_stem(F.col("uri")), F.lit("cn"), F.lit("en")).alias("language"))
 
 
-@q("target_captions", "select id, coalesce(nullif(trim(case when content like '{%' and json_valid(content) then json_extract_string(content, '$.caption') when content not like '{%' then content end, ' '), ''), nullif(trim(uri, ' '), '')) as caption from texts where content is not null and not regexp_matches(content, '^\\s+\\{')", "STR-18")
+@q("target_captions", "select id, coalesce(nullif(trim(case when ltrim(content) like '{%' and json_valid(content) then json_extract_string(content, '$.caption') when ltrim(content) not like '{%' then content end, ' '), ''), nullif(trim(uri, ' '), '')) as caption from texts where content is not null", "STR-18")
 def target_captions(spark, d):
-    rows = table(spark, d, "texts").filter("content is not null").filter(~F.col("content").rlike(r"^\s+\{"))
+    rows = table(spark, d, "texts").filter("content is not null")
     return rows.select("id", training.target_caption(F.col("content"), F.col("uri")).alias("caption"))
 
 
@@ -174,20 +174,8 @@ def resumed(spark, d):
     return scores.remaining(tasks, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"))).select("key")
 
 
-@q("tar_round_trip", "select id || '.txt' as fname, octet_length(encode(content)) as size from texts where content is not null and language = 'zh'", "SRC-10 SRC-11 SRC-14 SNK-4")
+@q("tar_round_trip", "select id || '.txt' as fname, octet_length(encode(content)) as size from texts where content is not null", "SRC-10 SRC-11 SRC-14 SNK-4")
 def tar_round_trip(spark, d):
-    """Captions written as tar shards in the shared folder and scanned again."""
-    from urllib.parse import urlparse
-
-    space = Workspace(spark, "tar")
-    folder = urlparse(space.fresh("shards")).path
-    rows = table(spark, d, "texts").filter("content is not null and language = 'zh'").select(F.col("id").alias("key"), F.encode(F.lit("image"), "utf-8").alias("image"), F.col("content").alias("caption"))
-    tar.write_tar(rows, folder).write.format("noop").mode("overwrite").save()
-    return tar.member_index(tar.read_tar(spark, folder)).filter(F.col("fname").endswith(".txt")).select("fname", "size")
-
-
-@q("tar_round_trip_all", "select id || '.txt' as fname, octet_length(encode(content)) as size from texts where content is not null", "SRC-10 SRC-11 SRC-14 SNK-4")
-def tar_round_trip_all(spark, d):
     """The captions of every language, and of none, written as tar shards and scanned again."""
     from urllib.parse import urlparse
 

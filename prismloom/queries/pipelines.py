@@ -82,18 +82,12 @@ def caption_fields(spark, d):
     return rows.select("id", tx.compose_prompt([F.get_json_object(c, "$.subject"), F.get_json_object(c, "$.style")], c).alias("prompt"))
 
 
-@q("style_suffix", r"select id, regexp_replace(content, '^\s+|\s+$', '', 'g') || case when regexp_matches(regexp_replace(content, '^\s+|\s+$', '', 'g'), '[.!?]$') then ' ' else '. ' end || 'Keep the style.' as prompt from texts where language = 'en' and content is not null and regexp_full_match(content, '[ -~]*')", "STR-10 STR-24")
-def style_suffix(spark, d):
-    rows = table(spark, d, "texts").filter("language = 'en' and content is not null").filter(F.col("content").rlike(r"^[ -~]*\z"))
-    return rows.select("id", tx.with_style(F.col("content"), "Keep the style.").alias("prompt"))
-
-
 #: The characters Unicode calls blank, as (?U)\s has them: DuckDB's \s is ASCII alone.
 _BLANKS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@q("style_suffix_all", f"select id, base || case when regexp_matches(base, '[.!?]$') then ' ' else '. ' end || 'Keep the style.' as prompt from (select id, regexp_replace(content, '^{_BLANKS}|{_BLANKS}$', '', 'g') as base from texts where content is not null)", "STR-10 STR-24")
-def style_suffix_all(spark, d):
+@q("style_suffix", f"select id, base || case when regexp_matches(base, '[.!?]$') then ' ' else '. ' end || 'Keep the style.' as prompt from (select id, regexp_replace(content, '^{_BLANKS}|{_BLANKS}$', '', 'g') as base from texts where content is not null)", "STR-10")
+def style_suffix(spark, d):
     return table(spark, d, "texts").filter("content is not null").select("id", tx.with_style(F.col("content"), "Keep the style.").alias("prompt"))
 
 

@@ -165,7 +165,7 @@ def test_style_goes_on_every_caption(spark, tmp_path):
     cases = [("en", "a cat", "a cat. "), ("en", f"{blanks}a cat!{blanks}", "a cat! "), ("zh", f"一只猫。{blanks}", "一只猫。. "), ("EN", "née\nLee?", "née\nLee? "), (None, "“x” ", "“x”. "), ("en-US", blanks, ". ")]
     rows = [(str(i), language, content) for i, (language, content, _) in enumerate(cases)] + [("null", "en", None)]
     spark.createDataFrame(rows, "id string, language string, content string").write.parquet(str(tmp_path / "texts.parquet"))
-    entry = ENTRIES["style_suffix_all"]
+    entry = ENTRIES["style_suffix"]
     found = {r.id: r.prompt for r in entry.run(spark, str(tmp_path)).collect()}
     assert found == {str(i): f"{start}Keep the style." for i, (_, _, start) in enumerate(cases)}
     with duckdb.connect() as con:
@@ -243,7 +243,7 @@ def test_tar_round_trip(spark, tmp_path):
 def test_captions_of_every_language_are_tarred(spark, tmp_path):
     texts = {"a": ("zh", "一只猫"), "b": ("ZH", "猫"), "c": ("en", "née"), "d": (None, "x\ny"), "e": ("zh-CN", ""), "f": ("en", None)}
     spark.createDataFrame([(i, *t) for i, t in texts.items()], "id string, language string, content string").write.parquet(str(tmp_path / "texts.parquet"))
-    found = rows_of(ENTRIES["tar_round_trip_all"].run(spark, str(tmp_path)), "fname", "size")
+    found = rows_of(ENTRIES["tar_round_trip"].run(spark, str(tmp_path)), "fname", "size")
     assert found == [(f"{i}.txt", len(c.encode())) for i, (_, c) in texts.items() if c is not None]
 
 
