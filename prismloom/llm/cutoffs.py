@@ -4,8 +4,9 @@ All targets are searched at once. In each round every Arrow batch of scores give
 per target, the median of what is left of its window; the weighted median of these
 medians is the target's pivot; counting scores above and at the pivot discards one
 side for good. At least a quarter of a window goes in each round, so rounds grow
-with the logarithm of the rows. Windows of at most ``finish_below`` scores are
-ranked exactly. Nothing but one row per target and round reaches the driver.
+with the logarithm of the rows; what is left is written anew whenever it has shrunk to a
+quarter, so all rounds together read a fixed multiple of the scores. A target rank is
+isolated in a window of at most ``finish_below`` scores, which is ranked. Nothing but one row per target and round reaches the driver.
 
 Rules (TESTDATA.md, problem 4): n counts all images of the source, k = n * percent / 100
 rounded up; the cutoff is the k-th best score, or the lowest score where fewer than k
@@ -25,17 +26,12 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import Workspace
 
-MAX_TARGETS = 100_000
-
-
 class ShareCutoffs:
     """Finds the cutoffs of ``targets`` (source, score_name, keep_percent) over ``rows``."""
 
-    def __init__(self, spark: SparkSession, rows: DataFrame, targets: DataFrame, key: str = "id", finish_below: int = 20_000):
+    def __init__(self, spark: SparkSession, rows: DataFrame, targets: DataFrame, key: str = "id", finish_below: int = 256):
         self.spark, self.rows, self.key, self.finish_below = spark, rows, key, finish_below
-        wanted = targets.select("source", "score_name", "keep_percent").distinct().filter("source is not null and score_name is not null and keep_percent is not null").limit(MAX_TARGETS + 1).collect()
-        if len(wanted) > MAX_TARGETS:
-            raise ValueError(f"more than {MAX_TARGETS} targets")
+        wanted = targets.select("source", "score_name", "keep_percent").distinct().filter("source is not null and score_name is not null and keep_percent is not null").collect()  # one row per target: a parameter, not data
         unknown = {t.score_name for t in wanted} - set(rows.columns)
         if unknown:
             raise ValueError(f"no such score: {sorted(unknown)}")
@@ -75,7 +71,14 @@ class ShareCutoffs:
                     row["cutoff"] = have[g].low
                 else:
                     open_[g] = {"lo": float("-inf"), "hi": float("inf"), "k": wanted, "left": have[g].n}
+        held = sum(s["left"] for s in open_.values())
+        scores = scores.join(self._state(open_, "lo", "hi").select("gid"), "gid") if open_ else scores
+        self.rounds = 0
         while any(s["left"] > self.finish_below for s in open_.values()):
+            self.rounds += 1
+            if 4 * sum(s["left"] for s in open_.values()) <= held:
+                scores = self.space.keep(scores.join(self._state(open_, "lo", "hi"), "gid").filter("score > lo and score < hi").select("gid", "score"), "left")
+                held = sum(s["left"] for s in open_.values())
             large = {g: s for g, s in open_.items() if s["left"] > self.finish_below}
             window = scores.join(self._state(large, "lo", "hi"), "gid").filter("score > lo and score < hi")
             for g, pivot, above, at in self._round(window):
