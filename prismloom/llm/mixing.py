@@ -23,16 +23,15 @@ from pyspark.sql import functions as F
 from ..plans.storage import Workspace
 from .tokens import TOKENIZERS, VOCABULARY, count_tokens
 
-MAX_SOURCES = 10_000
-
-
 def truncated_cdf(lam: float, cap: int) -> list[float]:
     """P(min(Poisson(lam), cap) <= k) for k = 0 .. cap - 1."""
-    p, total, out = math.exp(-lam), 0.0, []
+    if lam <= 0:
+        return [1.0] * cap
+    total, out = 0.0, []
     for k in range(cap):
-        total += p
+        # each term from its logarithm: exp(-lam) alone is no number for large lam
+        total += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
         out.append(min(1.0, total))
-        p *= lam / (k + 1)
     return out
 
 
@@ -43,9 +42,9 @@ def truncated_mean(lam: float, cap: int) -> float:
 def rate_parameter(rate: float, cap: int) -> float:
     """The parameter whose distribution, truncated at ``cap``, has mean ``rate``."""
     low, high = 0.0, 1.0
-    while truncated_mean(high, cap) < rate and high < 600:
+    while truncated_mean(high, cap) < rate:  # the mean rises to the cap, which lies above the rate
         high *= 2
-    for _ in range(80):
+    while high - low > 1e-9 * high:
         mid = (low + high) / 2
         low, high = (mid, high) if truncated_mean(mid, cap) < rate else (low, mid)
     return high
@@ -71,9 +70,7 @@ class SourceMix:
     def __init__(self, spark: SparkSession, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
         self.spark, self.seed = spark, seed
         self.space = Workspace(spark, "mix")
-        rows = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).limit(MAX_SOURCES + 1).collect()
-        if len(rows) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
+        rows = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()  # one row per target: a parameter, not data
         self.targets = {r.source: (float(r.share or 0), int(r.cap or 0)) for r in rows}
         names = F.broadcast(spark.createDataFrame([(s,) for s in self.targets], "source string"))
         wanted = documents.select("doc_id", "source", "text").join(names, "source", "left_semi")
