@@ -2,8 +2,11 @@
 
 A record's canonical key is the md5 of its form without letter case, punctuation,
 blanks and field order. The ledger holds per key the number of copies, the smallest id
-and the earliest arrival, split into buckets by key; a batch is aggregated, full-outer
-joined against the buckets it touches, and only these are written anew.
+and the earliest arrival, in buckets of the key. A batch is aggregated and becomes a run; runs of
+one size class are full-outer joined bucket by bucket, counts added up and the earliest
+representative kept, so no stored row is shuffled and each is written anew once a class: a
+batch costs what it holds, and its share of merges that grow with the logarithm of the history.
+The ledger is a folder with a manifest; ``CopyLedger(spark, path)`` opens it again in any session.
 
 Results for odd input: a null content or record has no key and no copies; contents
 without any letter or digit equal one another; text that looks like JSON but cannot be
@@ -13,14 +16,16 @@ parsed is plain text (a manifest: compared as it is). Ids are unique per table.
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.buckets import BucketedTable
 from ..plans.skew import join_by_weight
-from ..plans.storage import Workspace
+from ..plans.storage import Workspace, read_note, write_note
 
 #: Full-width characters U+FF01..U+FF5E lie 0xFEE0 above their ordinary forms.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -68,14 +73,12 @@ def _key(kind: str, form: Column) -> Column:
 
 
 def text_keys(texts: DataFrame) -> DataFrame:
-    """(record_type, key, id, at). Only contents that look like JSON objects pass through Python."""
+    """(record_type, key, id, at). Of the contents only those that look like JSON objects go to Python."""
     rows = texts.filter("content is not null").select("id", "content", F.col("ingested_at").alias("at"))
-    braced = F.regexp_replace(F.col("content"), r"^[\s\p{Z}﻿]+", "").startswith("{")
-    objects = rows.filter(braced).withColumn("form", object_form(F.regexp_replace(F.col("content"), r"^[\s\p{Z}﻿]+|[\s\p{Z}]+$", "")))
+    bare = F.regexp_replace(F.col("content"), r"^[\s\p{Z}﻿]+|[\s\p{Z}]+$", "")
+    rows = rows.withColumn("form", object_form(F.when(bare.startswith("{"), bare)))
     key = F.when(F.col("form").isNotNull(), _key("J", F.col("form"))).otherwise(_key("P", plain_form(F.col("content"))))
-    of_objects = objects.select(F.lit("text").alias("record_type"), key.alias("key"), "id", "at")
-    of_plain = rows.filter(~braced).select(F.lit("text").alias("record_type"), _key("P", plain_form(F.col("content"))).alias("key"), "id", "at")
-    return of_plain.unionByName(of_objects)
+    return rows.select(F.lit("text").alias("record_type"), key.alias("key"), "id", "at")
 
 
 def manifest_keys(manifests: DataFrame) -> DataFrame:
@@ -92,57 +95,65 @@ def manifest_keys(manifests: DataFrame) -> DataFrame:
 
 
 class CopyLedger:
-    """Counts of canonical keys, kept in buckets that are rewritten only when touched."""
+    """Counts of canonical keys in ``path``; where the folder has a ledger already, it is opened. ``fan``
+    runs of one size class (powers of ``fan`` rows) are merged; ``buckets`` is that of the session's shuffles."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan: int = 4):
+        self.spark, self.fan = spark, fan
         self.space = Workspace(spark, "ledger", path)
-        self.files: dict[int, str] = {}
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
-
-    def read(self, of: set[int] | None = None) -> DataFrame:
-        chosen = sorted({p for b, p in self.files.items() if of is None or b in of})
-        if not chosen:
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(*chosen)  # one scan, so small buckets share tasks
+        self._note = f"{self.space.path}/manifest.json"
+        self.state = read_note(spark, self._note) or {"buckets": buckets or self._shuffles(), "next": 1, "runs": {}}
+        self.table = BucketedTable(spark, f"{self.space.path}/runs", LEDGER, "key", self.state["buckets"])
+
+    def _shuffles(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def close(self) -> None:
+        """Leave the catalog; the folder can be opened again."""
+        self.table.close()
+
+    def _add_run(self, rows: DataFrame, replaced: list[int]) -> None:
+        gen = self.state["next"]
+        self.state["next"] = gen + 1  # noted first: what a broken write leaves behind is never read
+        write_note(self.spark, self._note, self.state)
+        self.table.append(rows, gen)
+        n = self.table.read([gen]).count()
+        self.state["runs"] = {g: m for g, m in self.state["runs"].items() if int(g) not in replaced} | ({str(gen): n} if n else {})
+        write_note(self.spark, self._note, self.state)
+        self.table.discard(replaced)
+
+    def read(self, runs: list[int] | None = None) -> DataFrame:
+        """key, n, kept_id, first_at over the runs: joins bucket by bucket."""
+        runs = [int(g) for g in self.state["runs"]] if runs is None else runs
+        rows = self.table.read(runs[:1])
+        for run in runs[1:]:
+            rows = rows.alias("h").join(self.table.read([run]).alias("f"), "key", "full_outer")
+            rows = rows.select("key", (F.coalesce("h.n", F.lit(0)) + F.coalesce("f.n", F.lit(0))).alias("n"), F.least("h.kept_id", "f.kept_id").alias("kept_id"), F.least("h.first_at", "f.first_at").alias("first_at"))
+        return rows
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: key, id, at."""
-        counted = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("kept_id"), F.min("at").alias("first_at"))
-        fresh = self.space.keep(counted.select(self._bucket().alias("bucket"), "key", "n", "kept_id", F.col("first_at").cast("timestamp_ntz").alias("first_at")), "batch", ["bucket"])
-        touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}
-        if not touched:
-            return
-        held = self.read(touched).alias("h")
-        joined = held.join(fresh.alias("f"), "key", "full_outer")
-        both = joined.select(
-            self._bucket().alias("bucket"),  # a bucket's files do not hold its number
-            "key",
-            (F.coalesce("h.n", F.lit(0)) + F.coalesce("f.n", F.lit(0))).alias("n"),
-            F.least("h.kept_id", "f.kept_id").alias("kept_id"),
-            F.least("h.first_at", "f.first_at").alias("first_at"),
-        )
-        target = self.space.fresh("ledger")
-        both.write.mode("overwrite").partitionBy("bucket").parquet(target)
-        for b in touched:
-            old = self.files.get(b)
-            self.files[b] = f"{target}/bucket={b}"
-            if old:
-                self.space.drop(old)
-
-
-def find_copies(spark: SparkSession, records: DataFrame, batch_of: Column, max_batches: int = 64) -> tuple[CopyLedger, DataFrame]:
+        """``batch``: key, id, at. One shuffle of its counts; then merges that are due."""
+        counted = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("kept_id"), F.min(F.col("at").cast("timestamp_ntz")).alias("first_at"))
+        # an aggregate leaves its rows in the buckets already where the ledger has as many as a shuffle
+        self._add_run(counted if self._shuffles() == self.state["buckets"] else counted.repartition(self.state["buckets"], "key"), [])
+        while True:
+            classes: dict[int, list[int]] = {}
+            for g, n in self.state["runs"].items():
+                classes.setdefault(int(math.log(n, self.fan)), []).append(int(g))
+            full = max(classes.values(), key=len, default=[])
+            if len(full) < self.fan:
+                return
+            self._add_run(self.read(full), full)
+
+
+def find_copies(spark: SparkSession, records: DataFrame, batch_of: Column, path: str | None = None) -> tuple[CopyLedger, DataFrame]:
     """Feed ``records`` (record_type, key, id, at) to a ledger batch by batch, then list every
-    copy: record_type, kept_id, copy_id. Batches beyond ``max_batches`` join the last one."""
-    ledger = CopyLedger(spark)
-    keyed = ledger.space.keep(records.withColumn("batch_no", F.coalesce(batch_of, F.lit(0)).cast("int")), "keys", ["batch_no"])
-    sizes = {r.batch_no: r.n for r in keyed.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_no").limit(max_batches).collect()}
-    numbers = sorted(sizes)
-    for i, no in enumerate(numbers):
-        last = i == max_batches - 1
-        ledger.add(keyed.filter(F.col("batch_no") >= no if last else F.col("batch_no") == no))
+    copy: record_type, kept_id, copy_id."""
+    ledger = CopyLedger(spark, path)
+    keyed = Workspace(spark, "copies").keep(records.withColumn("batch_no", F.coalesce(batch_of, F.lit(0)).cast("int")), "keys", ["batch_no"])
+    sizes = {r.batch_no: r.n for r in keyed.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per batch
+    for no in sorted(sizes):
+        ledger.add(keyed.filter(F.col("batch_no") == no))
     several = ledger.read().filter("n > 1").select("key", "n", "kept_id")
     copies = join_by_weight(keyed.select("record_type", "key", "id"), several, "key", "n", max(1, sum(sizes.values())))
     return ledger, copies.filter("id <> kept_id").select("record_type", "kept_id", F.col("id").alias("copy_id"))

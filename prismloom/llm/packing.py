@@ -35,19 +35,23 @@ class SumIndex:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self._pairs: np.ndarray | None = None
+        self._triples: np.ndarray | None = None
         self._alive = -1
 
-    def _pair_sums(self) -> np.ndarray:
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which sums two and three lengths on hand reach, up to the capacity."""
         # sums only disappear as counts fall, so a stale index errs towards a failed look-up
         alive = int((self.counts > 0).sum())
         if self._pairs is None or alive < 0.8 * self._alive:
             have = np.flatnonzero(self.counts > 0)
-            sums = np.zeros(2 * len(self.counts), bool)
             mask = self.counts > 0
+            pairs, triples = np.zeros(len(mask), bool), np.zeros(len(mask), bool)
             for a in have:
-                sums[a : a + len(mask)] |= mask
-            self._pairs, self._alive = sums, alive
-        return self._pairs
+                pairs[a:] |= mask[: len(mask) - a]
+            for a in have:
+                triples[a:] |= pairs[: len(mask) - a]
+            self._pairs, self._triples, self._alive = pairs, triples, alive
+        return self._pairs, self._triples
 
     def pair(self, gap: int, used: Counter) -> tuple[int, ...] | None:
         if gap < 2:
@@ -67,17 +71,14 @@ class SumIndex:
     def fill(self, gap: int, used: Counter) -> tuple[int, ...] | None:
         if gap < len(self.counts) and self.counts[gap] > 0 and self.enough((gap,), used):
             return (gap,)
-        sums = self._pair_sums()
-        if gap < len(sums) and sums[gap] and (found := self.pair(gap, used)):
+        pairs, triples = self._sums()
+        if pairs[gap] and (found := self.pair(gap, used)):
             return found
-        first = np.arange(1, min(gap - 1, len(self.counts)))
-        if not len(first):
+        if not triples[gap]:
             return None
-        rest = gap - first
-        ok = (self.counts[first] > 0) & (rest < len(sums))
-        ok[ok] &= sums[rest[ok]]
-        # a bound on effort alone: a triple not found here is left to best fit, and no text is lost
-        for a in first[ok][::-1][:64]:
+        first = np.arange(1, gap - 1)
+        ok = (self.counts[first] > 0) & pairs[gap - first]
+        for a in first[ok][::-1]:
             more = used + Counter([int(a)])
             if self.counts[a] >= more[int(a)] and (found := self.pair(gap - int(a), more)):
                 return (int(a), *found)
@@ -95,7 +96,7 @@ def plan_rows(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         gap, lengths, used = capacity, [], Counter()
         while True:
             largest = int(np.flatnonzero(counts > 0)[-1])
-            combo = index.fill(gap, used) if gap <= 3 * largest else None
+            combo = index.fill(gap, used) if gap <= 3 * largest else None  # three lengths reach no further
             if combo:
                 lengths += combo
                 break
@@ -165,5 +166,20 @@ def pack(spark: SparkSession, sizes: DataFrame, capacity: int, key: str = "doc_i
     return placed.unionByName(empty).withColumnRenamed("k", key)
 
 
+def fill_report(placed: DataFrame, capacity: int) -> DataFrame:
+    """What the rows of ``pack`` hold, and whether they are sound: n_rows, n_tokens, n_pieces, fill (share of
+    the rows' places in use) and faults (rows over capacity, with a gap or an overlap, plus missing numbers)."""
+    rows = placed.filter("row_no is not null").groupBy("row_no").agg(F.sum("n_tokens").alias("t"), F.max(F.col("position") + F.col("n_tokens")).alias("end"), F.sum((2 * F.col("position").cast("long") + F.col("n_tokens")) * F.col("n_tokens")).alias("area"), F.count(F.lit(1)).alias("p"))
+    # places 0 .. t-1 each once: the last one ends at t and the places' sum is that of 0 .. t-1
+    bad = (F.col("end") != F.col("t")) | (F.col("area") != F.col("t") * F.col("t")) | (F.col("t") > capacity)
+    total = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("p"), F.lit(0)).alias("n_pieces"), F.count_if(bad).alias("bad"), F.coalesce(F.max("row_no") + 1, F.lit(0)).alias("top"))
+    return total.select("n_rows", "n_tokens", "n_pieces", F.round(F.col("n_tokens") / F.nullif(F.col("n_rows") * capacity, F.lit(0)), 6).alias("fill"), (F.col("bad") + F.col("top") - F.col("n_rows")).alias("faults"))
+
+
+def sizes_of(spark: SparkSession, documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens of each whole text, counted once and written."""
+    return Workspace(spark, "tokens").keep(count_tokens(documents, folder=folder, vocabulary=vocabulary, keep=("doc_id",)), "sizes")
+
+
 def pack_documents(spark: SparkSession, documents: DataFrame, capacity: int, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     return pack(spark, count_tokens(documents, folder=folder, vocabulary=vocabulary, keep=("doc_id",)), capacity)

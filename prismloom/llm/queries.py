@@ -75,11 +75,6 @@ def _half_year():
     return 2 * F.year("at") + (F.quarter("at") > 2).cast("int")
 
 
-@llm.add("p5_found", covers="P5")
-def p5_found(spark, sf_dir):
-    return copies.find_copies(spark, _records(spark, sf_dir), _half_year())[1]
-
-
 _MANIFESTS = r"""
 with m as (
   select manifest_id, record, lower(regexp_replace(regexp_replace(trim(json_extract_string(record, '$.file_hash')), '^0[xX]', ''), '[^0-9a-fA-F]', '', 'g')) as h,
@@ -91,6 +86,37 @@ with m as (
 """
 
 
+_WIDE, _PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+
+
+_PATH = r".\[\]"
+
+
+def _plain_sql(col: str, keep: str = "") -> str:
+    return rf"regexp_replace(lower(upper(translate({col}, '{_WIDE}', '{_PLAIN}'))), '[^\p{{L}}\p{{N}}{keep}]', '', 'g')"
+
+
+_COPIES = (
+    _MANIFESTS.rstrip()
+    + rf"""
+, t as (
+  select id, content, content like '%{{%' and json_valid(content) and coalesce(try(json_type(content)) = 'OBJECT', false) as is_object from texts where content is not null
+), leaf as (
+  select t.id, string_agg({_plain_sql('e.fullkey', keep=_PATH)} || ':' || case when e.type in ('OBJECT', 'ARRAY') then e.type || '()' else coalesce({_plain_sql("(e.atom ->> '$')")}, 'null') end, ';' order by {_plain_sql('e.fullkey', keep=_PATH)}, {_plain_sql("(e.atom ->> '$')")}) as form
+  from t, json_tree(t.content) e where t.is_object group by t.id
+), k as (
+  select t.id, case when t.is_object then 'J' || l.form else 'P' || {_plain_sql('t.content')} end as k from t left join leaf l on l.id = t.id
+), c as (select id, min(id) over (partition by k) as kept_id from k)
+select 'text' as record_type, kept_id, id as copy_id from c where id <> kept_id
+union all select 'manifest', kept_id, manifest_id from g where manifest_id <> kept_id"""
+)
+
+
+@llm.add("p5_found", _COPIES, "P5")
+def p5_found(spark, sf_dir):
+    return copies.find_copies(spark, _records(spark, sf_dir), _half_year())[1]
+
+
 @llm.add("p5_manifest_copies", _MANIFESTS + "select kept_id, n as copies from g where manifest_id = kept_id and n > 1", "P5")
 def p5_manifest_copies(spark, sf_dir):
     ledger, _ = copies.find_copies(spark, copies.manifest_keys(table(spark, sf_dir, "image_manifests")), _half_year())
@@ -112,6 +138,14 @@ def p7_pack_4096(spark, sf_dir):
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), 4096)
 
 
+@llm.add("p7_fill", covers="P7")
+def p7_fill(spark, sf_dir):
+    """How full the rows of each capacity are, and that none is at fault."""
+    sizes = packing.sizes_of(spark, table(spark, sf_dir, "documents"))
+    parts = [packing.fill_report(packing.pack(spark, sizes, c), c).select(F.lit(c).alias("capacity"), "*") for c in (512, 2048, 4096)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @llm.add("p8_mix", covers="P8")
 def p8_mix(spark, sf_dir):
     return mixing.SourceMix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).chosen()
