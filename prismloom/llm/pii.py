@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.balance import spread
+from .names import features, is_person, weights
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -37,7 +38,8 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 HAN_DIGITS = {"零": "0", "〇": "0", "一": "1", "幺": "1", "二": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9"}
 FILE_ENDINGS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tif", "tiff", "svg", "parquet", "json", "jsonl", "csv", "tar", "gz", "zip", "txt", "mp4")
 COMPOUND_SURNAMES = "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 令狐 百里 呼延 东郭 南门 西门".split()
-SURNAMES = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林刁钟徐邱骆高夏蔡田樊胡凌霍虞万支柯昝管卢莫经房裘缪干解应宗丁宣贲邓郁单杭洪包诸左石崔吉钮龚程嵇邢滑裴陆荣翁荀羊甄曲家封芮储靳汲邴糜松井段富巫乌焦巴弓牧隗山谷车侯宓蓬全郗班仰秋仲伊宫宁仇栾暴甘厉戎祖武符刘景詹束龙叶幸司韶郜黎蓟薄印宿白怀蒲台从鄂索咸籍赖卓蔺屠蒙池乔阴胥能苍双闻莘党翟谭贡劳逄姬申扶堵冉宰郦雍璩桑桂濮牛寿通边扈燕冀郏浦尚农温别庄晏柴瞿阎充慕连茹习宦艾鱼容向古易慎戈廖庾终暨居衡步都耿满弘匡国文寇广禄阙东欧殳沃利蔚越夔隆师巩厍聂晁勾敖融冷訾辛阚那简饶空曾毋沙乜养鞠须丰巢关蒯相查后荆红游竺权逯盖益桓公"
+#: The most common family names of one character.
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗高郑梁谢宋唐许韩邓冯曹彭曾萧田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常汤康易乔赖文施洪辛柯庄温牛樊葛邢安齐伍庞颜倪季俞章鲁申詹关柴凌毕骆焦涂耿聂翟宁包裴尚纪舒柳岳祝左霍成苗管柏翁童卞褚卫尤华戚喻云费岑凤花明"
 STREET_KINDS = "Street St Road Rd Avenue Ave Lane Ln Way Court Ct Close Drive Dr Boulevard Blvd Place Pl Terrace Square Sq Crescent Row Walk Hill Gardens Grove Quay Parade Mews".split()
 # ----------------------------------------------------------------------------------
 
@@ -55,7 +57,6 @@ _REWRITE = re.compile(
 )
 #: Cheap signs that a text may hold a disguise; without one the transducer is skipped.
 _DISGUISED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|点|艾特)\s*[\])}>]|[零〇一二三四五六七八九幺]{7}", re.I)
-_DOT_WORD = re.compile(r" dot ", re.I)
 _DIGIT_RUN = re.compile(rf"\b(?:{_WORD})[\s,-]+(?:{_WORD})[\s,-]+(?:{_WORD})")
 
 
@@ -76,14 +77,15 @@ class Aligned:
     __slots__ = ("text", "starts", "anchors", "widths")
 
     def __init__(self, source: str):
-        text = source.translate(_CHARS)
+        plain = source.isascii()
+        text = source if plain else source.translate(_CHARS)
         kept = None
-        if _INVISIBLE.search(text):
+        if not plain and _INVISIBLE.search(text):
             kept = [i for i, c in enumerate(text) if c not in INVISIBLE]
             text = "".join(text[i] for i in kept)
         # anchors: (position in the result, position before rewriting, width before, is rewritten)
         pieces, anchors, pos, done = [], [(0, 0, 1, False)], 0, 0
-        disguised = _DISGUISED.search(text) or _DOT_WORD.search(text) or _DIGIT_RUN.search(text.lower())
+        disguised = _DISGUISED.search(text) or " dot " in (low := text.lower()) or _DIGIT_RUN.search(low)
         for m in _REWRITE.finditer(text) if disguised else ():
             plain = text[done : m.start()]
             pieces.append(plain)
@@ -166,6 +168,13 @@ _NAME = re.compile(
     rf"(?<![A-Za-z0-9_@.-])(?:(?:{_CAP}|{_INITIAL}) ?(?:{_INITIAL} ?){{0,2}}(?<=[ .]){_FAMILY}|[{_UP}]{{2,}} (?:{_INITIAL} ){{0,2}}{_ALLCAPS}|{_INITIAL} ?{_ALLCAPS}|{_FAMILY}, (?:{_CAP}|{_INITIAL})(?: {_INITIAL})?|{_ALLCAPS}, [{_UP}]{{2,}})(?![A-Za-z0-9_@])"
 )
 _DIGIT, _HAN_CHAR = re.compile(r"\d"), re.compile(f"[{_HAN}]")
+#: Six digits or more with at most three signs between them: every number detector needs as much.
+_CLUSTER = re.compile(r"\d(?:[ ().+/-]{0,3}\d){5,}")
+_STREET_WORDS = tuple(f" {k}" for k in STREET_KINDS) + ("Box ",)
+_STREET_ANCHOR = re.compile(rf" (?:{'|'.join(STREET_KINDS)})(?![a-z])|Box \d+")
+_CONTINENT_WORDS = ("straße", "strasse", "str. ", "gasse ", "weg ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig ", "Straße", "Strasse", "Allee", "Platz", "Weg ", "Gasse", " rue ", " avenue ", " boulevard ", " place ", " allée ", " impasse ", " quai ", " chemin ")
+_NUMBERED = re.compile(r"\d号")
+_NAME_PARTS, _NEXT_WORD = re.compile(r"[ ,.-]+"), re.compile(r"[ ,]+|-")
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Mx|Dr|Prof|Professor|Sir|Madam)\.? )?"
 _BEFORE = re.compile(
     r"(?:\b(?:by|for|from|From|contact|Contact|Dear|Hello|Hi|Signed|[Rr]eviewer|[Aa]nnotator|[Aa]uthor|[Pp]hotographer|[Ss]itter|[Hh]older|[Oo]wner|reads|goes to|to|Ask|ask|[Pp]ortrait of|(?:him|her|them|it)sel(?:f|ves) as|[Oo]ld entry|[Nn]ame|[Rr]ecipient|[Aa]ttn|named|sincerely|regards|cc)[,:]?[ \n]+"
@@ -185,11 +194,52 @@ _HAN_LEFT = (
 _HAN_RIGHT = r"(?=收[。.,，]|反馈|修改|选出|负责|拍摄|提交|说|的遮罩|先生|女士|老师|同意|审核|确认|和|与|、|[，,。.;；:：（(）)”\"<'\n ]|$)"
 _HAN_STRONG = r"(?= ?[（(][+＋(\d]|反馈|负责|说|的遮罩|先生|女士| said| reports|'s mask|[\"”] ?<)"
 _HAN_NEXT = re.compile(rf"[、和与及]{_HAN_WHO}{_HAN_RIGHT}")
-_HAN_PERSON = (re.compile(f"{_HAN_LEFT}{_HAN_WHO}{_HAN_RIGHT}"), re.compile(rf"(?:^|[。\n;；，“\"!！ .]){_HAN_WHO}{_HAN_STRONG}", re.M))
+#: Family names that are hardly ever the first character of a common word, for clauses without another cue.
+_HAN_SURE = "王李张刘陈杨赵吴周徐孙朱胡郭何罗郑梁谢宋唐许韩邓冯曹彭曾萧董潘袁蔡蒋余杜魏苏吕卢姚沈崔谭廖韦贾邹孟秦邱尹薛闫龚邵覃戴倪俞詹骆聂翟裴霍"
+_HAN_CLAUSE = rf"(?:^|[。\n;；，,“\"!！：:]|今天|昨天|明天|前天|今年|去年|后来|当时|那天|上周|下周|早上|晚上|上午|下午)(?P<who>[{_HAN_SURE}](?![家氏姓某府国朝代])[{_HAN}]{{1,2}}?)(?=在(?!于)|去了|去过|来到|来了|住在|出生|毕业|工作|告诉|认为|表示|写道|画了|拍了|把|对我|给我|和我|跟我)"
+_HAN_PERSON = (re.compile(f"{_HAN_LEFT}{_HAN_WHO}{_HAN_RIGHT}"), re.compile(rf"(?:^|[。\n;；，“\"!！ .]){_HAN_WHO}{_HAN_STRONG}", re.M), re.compile(_HAN_CLAUSE, re.M))
 
 
-def _free(taken: list[tuple[int, int, str]], start: int, end: int) -> bool:
-    return all(end <= a or start >= b for a, b, _ in taken)
+class Spans:
+    """Disjoint spans in order; whether a new one is free is found by bisection, however many there are."""
+
+    __slots__ = ("starts", "held")
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.held: list[tuple[int, int, str]] = []
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        return (i == 0 or self.held[i - 1][1] <= start) and (i == len(self.starts) or self.starts[i] >= end)
+
+    def take(self, start: int, end: int, kind: str) -> None:
+        i = bisect_right(self.starts, start)
+        self.starts.insert(i, start)
+        self.held.insert(i, (start, end, kind))
+
+    def take_free(self, start: int, end: int, kind: str) -> bool:
+        ok = self.free(start, end)
+        if ok:
+            self.take(start, end, kind)
+        return ok
+
+
+def _windows(text: str, anchor: re.Pattern, before: int, after: int) -> list[tuple[int, int]]:
+    """Stretches around the anchors, merged where they meet: what a costly pattern has to look at."""
+    out: list[tuple[int, int]] = []
+    for m in anchor.finditer(text):
+        a, b = max(0, m.start() - before), min(len(text), m.end() + after)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _within(pattern: re.Pattern, text: str, windows: list[tuple[int, int]]) -> Iterator[re.Match]:
+    for a, b in windows:
+        yield from pattern.finditer(text, a, b)
 
 
 def _cut_domain(found: str) -> str:
@@ -231,20 +281,23 @@ def _address_end(text: str, end: int) -> int:
     return post.end() if post else end
 
 
-def detect(source: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every occurrence, positions in the source text."""
+def detect(source: str | None, scorer: tuple[float, ...] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every occurrence, positions in the source text. ``scorer``: weights of
+    names.features, by default those of names.weights."""
     if not source:
         return []
+    scorer = weights() if scorer is None else scorer
     aligned = Aligned(source)
     text = aligned.text
-    taken: list[tuple[int, int, str]] = []
+    taken = Spans()
     if "@" in text:
         for m in _EMAIL.finditer(text):
             found = _cut_domain(m[0])
             if found.rpartition(".")[2].lower() not in FILE_ENDINGS:
-                taken.append((m.start(), m.start() + len(found), "email"))
+                taken.take_free(m.start(), m.start() + len(found), "email")
     if _DIGIT.search(text):
-        for m in _IDS.finditer(text):
+        numbers = _windows(text, _CLUSTER, 32, 6)
+        for m in _within(_IDS, text, numbers):
             before = text[max(0, m.start() - 32) : m.start()]
             start, end = m.span()
             if m["cued"]:
@@ -252,65 +305,70 @@ def detect(source: str | None) -> list[tuple[str, int, int]]:
                     continue
             elif _NOT_ID.search(before):
                 continue
-            elif (m["han"] is None and m["dni"] is not None) and not (m["dni"][-1].isupper()):
-                continue
-            if _free(taken, start, end):
-                taken.append((start, end, "id_number"))
-        for m in _HEAD.finditer(text):
-            end = _address_end(text, m.end())
-            if _free(taken, m.start(), end):
-                taken.append((m.start(), end, "address"))
-        for m in (*_CONTINENT.finditer(text), *_HAN_ADDRESS.finditer(text)):
-            if _free(taken, *m.span()):
-                taken.append((*m.span(), "address"))
-        for m in _PHONES.finditer(text):
-            if not _NOT_PHONE.search(text[max(0, m.start() - 14) : m.start()]) and _free(taken, *m.span()):
-                taken.append((*m.span(), "phone"))
-        for m in _PHONE_CUED.finditer(text):
-            if 7 <= sum(c.isdigit() for c in m[1]) <= 15 and _free(taken, *m.span(1)):
-                taken.append((*m.span(1), "phone"))
-    last_end = -1
-    pos = 0
+            taken.take_free(start, end, "id_number")
+        if any(k in text for k in _STREET_WORDS):
+            for m in _within(_HEAD, text, _windows(text, _STREET_ANCHOR, 100, 2)):
+                taken.take_free(m.start(), _address_end(text, m.end()), "address")
+        if any(k in text for k in _CONTINENT_WORDS):
+            for m in _CONTINENT.finditer(text):
+                taken.take_free(*m.span(), "address")
+        if "号" in text:
+            for m in _within(_HAN_ADDRESS, text, _windows(text, _NUMBERED, 48, 32)):
+                taken.take_free(*m.span(), "address")
+        for m in _within(_PHONES, text, numbers):
+            if not _NOT_PHONE.search(text[max(0, m.start() - 14) : m.start()]):
+                taken.take_free(*m.span(), "phone")
+        for m in _within(_PHONE_CUED, text, numbers):
+            if 7 <= sum(c.isdigit() for c in m[1]) <= 15:
+                taken.take_free(*m.span(1), "phone")
+    _detect_names(text, taken, scorer)
+    if _HAN_CHAR.search(text):
+        _detect_han_names(text, taken)
+    out = []
+    for a, b, kind in taken.held:
+        s, e = aligned.source_span(a, b)
+        while s < e and source[s] in " \t\n.,;:，。；：":
+            s += 1
+        while e > s and source[e - 1] in " \t\n,;:，。；：" or (e > s and source[e - 1] == "." and kind not in ("name", "address")):
+            e -= 1
+        out.append((kind, s, e))
+    return out
+
+
+def _detect_names(text: str, taken: Spans, scorer: tuple[float, ...]) -> None:
+    last_end, pos = -1, 0
     while m := _NAME.search(text, pos):
         start, end = m.span()
-        words = re.split(r"[ ,.-]+", m[0])
-        ok = not (words[0] in _STOP or words[-1] in _STOP) and _free(taken, start, end)
+        ok = taken.free(start, end)
         if ok:
+            words = _NAME_PARTS.split(m[0])
             before = text[max(0, start - 36) : start]
-            cued = _BEFORE.search(before) and not before.endswith("such as ")
-            ok = bool(cued or _AFTER.match(text, end) or (last_end >= 0 and start - last_end < 48 and _JOIN.match(text[last_end:start])))
+            cued = bool(_BEFORE.search(before)) and not before.endswith("such as ")
+            joined = last_end >= 0 and start - last_end < 48 and bool(_JOIN.match(text[last_end:start]))
+            ok = is_person(features(text, start, end, cued, bool(_AFTER.match(text, end)), joined, words[0] in _STOP or words[-1] in _STOP), scorer)
         if ok:
             if m[0].endswith(("'s", "’s")):
                 end -= 2
-            taken.append((start, end, "name"))
+            taken.take(start, end, "name")
             last_end = pos = end
         else:
             # a rejected pair may hide a name that starts at its second word
-            step = re.compile(r"[ ,]+|-").search(text, start, end)
+            step = _NEXT_WORD.search(text, start, end)
             pos = step.end() if step else end
-    if _HAN_CHAR.search(text):
-        for pattern in _HAN_PERSON:
-            pos = 0
-            while m := pattern.search(text, pos):
-                start, end = m.span("who")
-                if _free(taken, start, end):
-                    taken.append((start, end, "name"))
-                    pos = end
-                    # further names of a list
-                    while (more := _HAN_NEXT.match(text, pos)) and _free(taken, *more.span("who")):
-                        taken.append((*more.span("who"), "name"))
-                        pos = more.end("who")
-                else:
-                    pos = max(m.start() + 1, start)
-    out = []
-    for a, b, kind in sorted(taken):
-        s, e = aligned.source_span(a, b)
-        while s < e and source[s] in " \t\n.,;:，。；：":
-            s += 1
-        while e > s and source[e - 1] in " \t\n,;:，。；：" or (e > s and source[e - 1] == "." and kind not in ("name", "address")):
-            e -= 1
-        out.append((kind, s, e))
-    return out
+
+
+def _detect_han_names(text: str, taken: Spans) -> None:
+    for pattern in _HAN_PERSON:
+        pos = 0
+        while m := pattern.search(text, pos):
+            start, end = m.span("who")
+            if taken.take_free(start, end, "name"):
+                pos = end
+                # further names of a list
+                while (more := _HAN_NEXT.match(text, pos)) and taken.take_free(*more.span("who"), "name"):
+                    pos = more.end("who")
+            else:
+                pos = max(m.start() + 1, start)
 
 
 def redact(source: str | None, spans: list[tuple[str, int, int]] | None = None) -> str | None:
@@ -327,10 +385,11 @@ def redact(source: str | None, spans: list[tuple[str, int, int]] | None = None)
 def find_pii(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pii_type, start_pos, end_pos): one row per occurrence."""
     kind = dict(documents.dtypes)[key]
+    scorer = weights()  # fitted once, on the driver
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *span) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for span in detect(t)]
+            rows = [(k, *span) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for span in detect(t, scorer)]
             yield pd.DataFrame(rows, columns=["k", "pii_type", "start_pos", "end_pos"])
 
     rows = spread(documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")))
@@ -341,8 +400,10 @@ def find_pii(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def redact_documents(documents: DataFrame, text: str = "text", out: str = "redacted") -> DataFrame:
     """All columns of ``documents`` and the text with placeholders."""
 
+    scorer = weights()
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(redact, na_action="ignore")
+        return texts.map(lambda t: redact(t, detect(t, scorer)), na_action="ignore")
 
-    return documents.withColumn(out, clean(F.col(f"`{text}`")))
+    return spread(documents).withColumn(out, clean(F.col(f"`{text}`")))
