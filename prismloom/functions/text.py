@@ -6,6 +6,9 @@ stripped as well.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,6 +120,26 @@ def pick_prompts(raw: Column) -> Column:
     return F.filter(chosen, lambda p: p.isNotNull() & (F.length(strip(p)) > 0))
 
 
+def pair_parts(key: Column) -> tuple[Column, Column]:
+    """Content and style of a pair key ``c__s``; the style is '' where there is none."""
+    return F.split_part(key, F.lit("__"), F.lit(1)), F.split_part(key, F.lit("__"), F.lit(2))
+
+
+def canonical_json(col: Column) -> Column:
+    """JSON with sorted keys, without blanks, in plain Unicode; null where it cannot be parsed. In Arrow batches."""
+    @F.pandas_udf("string")
+    def dump(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> str | None:
+            try:
+                return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one, na_action="ignore")
+
+    return dump(col)
+
+
 def path_stem(col: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(col, r"([^/]*)$", 1), r"\.[^.]*$", "")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def run_groups(rows: DataFrame, stream: str, order: list[str], group: str, max_size: int | None = None) -> DataFrame:
@@ -78,6 +80,31 @@ def keep_columns(rows: DataFrame, names: list[str], meta: bool = True) -> DataFr
     return rows.select(*[F.col(f"`{c}`") for c in chosen])
 
 
+def map_samples(rows: DataFrame, fn, schema: str, key: str = "__key__") -> DataFrame:
+    """Each row through ``fn`` (dict to dict, None drops the row) in Arrow batches; the key stays."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            made = [(s[key], fn(s)) for s in batch.to_dict("records")]
+            yield pd.DataFrame([{key: k} | m for k, m in made if m is not None], columns=[key, *names])
+
+    names = list(T.StructType.fromDDL(schema).names)
+    return rows.mapInPandas(run, f"`{key}` {kind}, {schema}")
+
+
+def assign(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Computed columns, each from the columns before; an expression that may fail belongs in its try_ form."""
+    for name, value in columns.items():
+        rows = rows.withColumn(name, value)
+    return rows
+
+
+def as_list(rows: DataFrame, names: list[str]) -> Column:
+    """Root fields as texts in the order of ``names``; one the rows lack is null."""
+    return F.array(*[F.col(f"`{n}`").cast("string") if n in rows.columns else F.lit(None).cast("string") for n in names])
+
+
 def route(rows: DataFrame, router: Column, branches: dict[str, object]) -> DataFrame:
     """Each row through the branch (DataFrame -> DataFrame) its router names; ``__default__`` takes
     the rest, without it an unknown route is an error."""
@@ -124,10 +151,13 @@ def odd_keys(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def interleave(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """Groups of ``n`` streams mixed at random: position of each row in its group, by a seeded hash."""
-    stream = F.pmod(F.xxhash64(key), F.lit(n))
-    order = Window.partitionBy("stream").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return rows.withColumn("stream", stream).withColumn("turn", F.row_number().over(order))
+    """``n`` streams (rows by key, strided) mixed at random: ``turn`` is each row's place in the whole, by a
+    seeded md5 that any engine can reproduce. The order is made by range partitions, so no task sorts a stream."""
+    from .reader import with_positions
+
+    at = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    mixed = rows.withColumn("stream", F.pmod(F.col(key), F.lit(n)).cast("int")).withColumn("__at", at)
+    return with_positions(mixed, ["__at", key]).drop("__at").withColumnRenamed("pos", "turn")
 
 
 def prefix_groups(files: DataFrame, prompts: DataFrame, last: bool = True) -> DataFrame:

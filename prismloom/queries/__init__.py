@@ -6,5 +6,6 @@ def registries() -> list:
     from .extras import extras
     from .general import general
     from .pipelines import pipelines
+    from .samples import samples
 
-    return [core, pipelines, extras, general]
+    return [core, pipelines, extras, samples, general]

@@ -268,7 +268,7 @@ def tag_counts(spark, d):
     return ann.tag_counts(rows, F.when(F.col("value_json").startswith('"'), F.get_json_object("value_json", "$")))
 
 
-@core.add("multi_tag_counts", "with t as (select unnest(from_json(json_extract(content, '$.tags'), '[\"VARCHAR\"]')) as tag from texts where content like '{%' and json_valid(content) and json_type(content, '$.tags') = 'ARRAY') select tag, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct from t group by tag", "AGG-22 JSN-1")
+@core.add("multi_tag_counts", "with t as (select unnest(from_json(json_extract(content, '$.tags'), '[\"VARCHAR\"]')) as tag from texts where content like '{%' and json_valid(content) and json_type(content, '$.tags') = 'ARRAY') select tag, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct from t group by tag", "AGG-22")
 def multi_tag_counts(spark, d):
     rows = StoreViews(spark, d).texts().filter(F.col("content").startswith("{"))
     return ann.multi_tag_counts(rows, F.from_json(F.get_json_object("content", "$.tags"), "array<string>"))

@@ -68,7 +68,7 @@ def parse_labels(spark, d):
     return _events(spark, d).select("event_id", tx.label_pair(raw).alias("p")).select("event_id", "p.common", "p.label")
 
 
-@q("json_extract", "select event_id, case when event_id % 4 = 3 then null else json_extract_string(props, '$.k')::bigint end as k from events", "STR-6 STR-7")
+@q("json_extract", "select event_id, case when event_id % 4 = 3 then null else json_extract_string(props, '$.k')::bigint end as k from events", "STR-6")
 def json_extract(spark, d):
     e, p = F.col("event_id"), F.col("props")
     raw = F.when(e % 4 == 0, p).when(e % 4 == 1, F.concat(F.lit("Here it is:\n```json\n"), p, F.lit("\n```"))).when(e % 4 == 2, F.concat(F.lit("well, "), p, F.lit(" as asked"))).otherwise(F.lit("no { json"))
@@ -91,7 +91,7 @@ def style_suffix(spark, d):
     return table(spark, d, "texts").filter("content is not null").select("id", tx.with_style(F.col("content"), "Keep the style.").alias("prompt"))
 
 
-@q("path_parts", r"select id, regexp_replace(regexp_extract(uri, '([^/]*)$', 1), '\.[^.]*$', '') as stem, lower(regexp_extract(uri, '(\.[^./]+)$', 1)) as ext, split_part(uri, '/', 1) as top from lance_images where uri is not null", "STR-11 STR-12")
+@q("path_parts", r"select id, regexp_replace(regexp_extract(uri, '([^/]*)$', 1), '\.[^.]*$', '') as stem, lower(regexp_extract(uri, '(\.[^./]+)$', 1)) as ext, split_part(uri, '/', 1) as top from lance_images where uri is not null", "STR-11")
 def path_parts(spark, d):
     u = F.col("uri")
     return table(spark, d, "lance_images").filter("uri is not null").select("id", tx.path_stem(u).alias("stem"), tx.path_extension(u).alias("ext"), F.split_part(u, F.lit("/"), F.lit(1)).alias("top"))
@@ -212,9 +212,12 @@ def standardised_mse(spark, d):
     return _pairs(spark, d).select("vec_id", F.round(vec.standardised_mse(F.col("x"), F.col("y")), 6).alias("cas"))
 
 
-@q("mean_pooled", "select label, round(avg(list_extract(embedding, 1)::double), 6) as d1, round(avg(list_extract(embedding, 64)::double), 6) as d64, count(*) as n from embeddings group by 1", "MTH-7")
+@q("mean_pooled", "select vec_id, round((embedding[1]::double + embedding[33]::double) / 2, 6) as d1, round((embedding[32]::double + embedding[64]::double) / 2, 6) as d32, round(list_sum(embedding::double[]) / 2, 6) as total from embeddings", "MTH-7")
 def mean_pooled(spark, d):
-    return _vectors(spark, d).groupBy("label").agg(F.round(F.avg(F.element_at("embedding", 1).cast("double")), 6).alias("d1"), F.round(F.avg(F.element_at("embedding", 64).cast("double")), 6).alias("d64"), F.count(F.lit(1)).alias("n"))
+    """Each vector as two tokens of 32 dimensions, pooled."""
+    tokens = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    pooled = _vectors(spark, d).select("vec_id", vec.mean_pool(tokens, 32).alias("p"))
+    return pooled.select("vec_id", F.round(F.element_at("p", 1), 6).alias("d1"), F.round(F.element_at("p", 32), 6).alias("d32"), F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 _RANKED = "with s as (select q.vec_id as qid, q.label as ql, g.label as gl, round(list_dot_product(q.embedding::double[], g.embedding::double[]), 9) as sim, g.vec_id as gid from embeddings q join embeddings g on g.vec_id <> q.vec_id where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by qid order by sim desc, gid) as rank, (ql = gl)::int as hit from s), h as (select *, sum(hit) over (partition by qid order by rank) as hits from r), n as (select count(*) as n from embeddings where vec_id % 100 = 0)"
@@ -266,7 +269,7 @@ def merge_ignore(spark, d):
     return store.merge_ignore(target, s.filter("batch > 0"), ["k", "line"], "batch", "ord")
 
 
-@q("flatten_sequences", STORE + " select 'sequence_images' as table_name, count(*) as n from (select distinct sequence_id, image_id, \"index\" from sequence_images) union all select 'sequence_texts', count(*) from (select distinct sequence_id, text_id, \"index\" from sequence_texts)", "DML-6 DML-10 DML-12")
+@q("flatten_sequences", STORE + " select 'sequence_images' as table_name, count(*) as n from (select distinct sequence_id, image_id, \"index\" from sequence_images) union all select 'sequence_texts', count(*) from (select distinct sequence_id, text_id, \"index\" from sequence_texts)", "DML-10")
 def flatten_sequences(spark, d):
     v = StoreViews(spark, d)
     count = lambda rows, name: rows.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
@@ -278,7 +281,7 @@ _POS = "select *, row_number() over (order by id) - 1 as pos from lance_images"
 WANTED = [4, 0, 2, 17, 2]
 
 
-@q("take_by_indices", f"select id, pos from ({_POS}) where pos in (4, 0, 2, 17)", "SRC-2 SRC-3")
+@q("take_by_indices", f"select id, pos from ({_POS}) where pos in (4, 0, 2, 17)", "SRC-2")
 def take_by_indices(spark, d):
     rows = reader.with_positions(table(spark, d, "lance_images").select("id", "uri"), ["id"])
     return reader.take(rows, "pos", WANTED, ["id"], keep_order=True)
@@ -289,7 +292,7 @@ def take_by_query(spark, d):
     return reader.take(table(spark, d, "lance_images"), "source", ["lumen_edit", "ferncap"], ["id"])
 
 
-@q("take_by_ids", "select id, file_size from lance_images where id in (select id from lance_images order by id limit 20)", "SRC-5 SRC-6 JN-24")
+@q("take_by_ids", "select id, file_size from lance_images where id in (select id from lance_images order by id limit 20)", "SRC-5 SRC-6")
 def take_by_ids(spark, d):
     rows = table(spark, d, "lance_images")
     ids = [r.id for r in rows.select("id").orderBy("id").limit(20).collect()]
@@ -312,13 +315,13 @@ def run_groups(spark, d):
     return runs.groupBy("user_id", "run_no").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@q("run_groups_capped", _ISLANDS + ", c as (select *, ((row_number() over (partition by user_id, run_no order by ts, event_id) - 1) // 2)::int as chunk_no from r) select user_id, run_no::bigint as run_no, chunk_no, count(*) as n_rows from c group by all", "WIN-1 SRC-12")
+@q("run_groups_capped", _ISLANDS + ", c as (select *, ((row_number() over (partition by user_id, run_no order by ts, event_id) - 1) // 2)::int as chunk_no from r) select user_id, run_no::bigint as run_no, chunk_no, count(*) as n_rows from c group by all", "WIN-1")
 def run_groups_capped(spark, d):
     runs = sequencing.run_groups(_events(spark, d), "user_id", ["ts", "event_id"], "event_type", 2)
     return runs.groupBy("user_id", "run_no", "chunk_no").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@q("range_filter", "select id from lance_images where width between 512 and 1500 and height >= 512 and (clarity is null or clarity <= 400)", "FLT-9 FLT-10 FLT-8")
+@q("range_filter", "select id from lance_images where width between 512 and 1500 and height >= 512 and (clarity is null or clarity <= 400)", "FLT-9 FLT-10")
 def range_filter(spark, d):
     rows = table(spark, d, "lance_images")
     rules = {"width": (512, 1500), "height": (512, None), "clarity": (None, 400.0)}
@@ -358,12 +361,12 @@ def prefix_groups(spark, d):
     return sequencing.prefix_groups(files, keys, last=False).select("key", F.size("paths").cast("long").alias("n_files"))
 
 
-@q("interleaved", None, "PRJ-7")
+@q("interleaved", "select event_id, (event_id % 4)::int as stream, row_number() over (order by md5('0:' || event_id), event_id) - 1 as turn from events", "PRJ-7")
 def interleaved(spark, d):
     return sequencing.interleave(_events(spark, d).select("event_id"), 4, "event_id")
 
 
-@q("projected", "select id, uri from lance_images", "PRJ-1 PRJ-3 PRJ-4 PRJ-11")
+@q("projected", "select id, uri from lance_images", "PRJ-1")
 def projected(spark, d):
     return sequencing.keep_columns(table(spark, d, "lance_images"), ["id", "uri", "absent"])
 
@@ -379,7 +382,7 @@ def stable_sample(spark, d):
     return sampling.stable_sample(table(spark, d, "lance_images").select("id"), "id", 50, 7)
 
 
-@q("stride_shards", "with r as (select doc_id, row_number() over (order by doc_id) - 1 as rn from documents) select doc_id, (rn % 3)::int as machine, ((rn // 3) % 4)::int as rank from r", "SMP-3 SRT-3")
+@q("stride_shards", "with r as (select doc_id, row_number() over (order by doc_id) - 1 as rn from documents) select doc_id, (rn % 3)::int as machine, ((rn // 3) % 4)::int as rank from r", "SMP-3")
 def stride_shards(spark, d):
     return sampling.stride_shard(table(spark, d, "documents").select("doc_id"), "doc_id", 3, 4)
 
@@ -421,7 +424,7 @@ def fit_side(spark, d):
 
 
 @q("natural_index_order", r"""with i as (select distinct m.index as idx from (select unnest(images) as m from sequences_data) where m is not null)
-select idx, row_number() over (order by (idx is null or idx = '')::int, coalesce(try_cast(nullif(regexp_extract(idx, '(\d+)$', 1), '') as double), 'inf'::double), idx nulls last)::int as place from i""", "SRT-1 SRT-2")
+select idx, row_number() over (order by (idx is null or idx = '')::int, coalesce(try_cast(nullif(regexp_extract(idx, '(\d+)$', 1), '') as double), 'inf'::double), idx nulls last)::int as place from i""", "SRT-1")
 def natural_index_order(spark, d):
     from pyspark.sql import Window
 
@@ -436,7 +439,7 @@ _TRAIN = """with latest as (
 )"""
 
 
-@q("training_choices", _TRAIN + ", s as (select sequence_id, list_filter(images, lambda e: e is not null and e.index is not null) as im, list_filter(texts, lambda e: e is not null and e.index is not null) as tx from latest), r as (select sequence_id, im, tx, list_filter(['instruction_en', 'instruction_cn', 'primary_description_en', 'primary_description_cn'], lambda r: list_contains(list_transform(tx, lambda e: e.index), r)) as roles from s where list_contains(list_transform(im, lambda e: e.index), 'source') and list_contains(list_transform(im, lambda e: e.index), 'target')) select sequence_id, len(roles)::int as n_choices, array_to_string(roles, ',') as roles, len(list_filter(im, lambda e: e.index in ('source', 'target')))::int as n_images from r where len(roles) > 0", "STR-17 STR-19 SNK-6")
+@q("training_choices", _TRAIN + ", s as (select sequence_id, list_filter(images, lambda e: e is not null and e.index is not null) as im, list_filter(texts, lambda e: e is not null and e.index is not null) as tx from latest), r as (select sequence_id, im, tx, list_filter(['instruction_en', 'instruction_cn', 'primary_description_en', 'primary_description_cn'], lambda r: list_contains(list_transform(tx, lambda e: e.index), r)) as roles from s where list_contains(list_transform(im, lambda e: e.index), 'source') and list_contains(list_transform(im, lambda e: e.index), 'target')) select sequence_id, len(roles)::int as n_choices, array_to_string(roles, ',') as roles, len(list_filter(im, lambda e: e.index in ('source', 'target')))::int as n_images from r where len(roles) > 0", "STR-19 SNK-6")
 def training_choices(spark, d):
     out = training.training_choices(StoreViews(spark, d).exports().select("sequence_id", "images", "texts"), ROLES)
     return out.select("sequence_id", F.size("sequence_choices").alias("n_choices"), F.array_join(F.transform("sequence_choices", lambda c: c["choice"][1]["index"]), ",").alias("roles"), F.size("images").alias("n_images"))

@@ -305,3 +305,31 @@ def test_image_features():
     f = imaging.features(rgb, b"raw")
     assert f["entropy"] == 1.0 and f["edge_probability"] > 0.8 and f["edge_near_patch_min_std"] == 0.0
     assert imaging.hamming(b"\x00\xff", b"\x01\xff") == 1
+
+
+def test_annotator_resumes_and_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 0), ("c", 4), ("c", 4)], "key string, n int")
+    share = lambda r: 8.0 / r["n"]
+    out = str(tmp_path / "out")
+    assert incremental.run_annotator(spark, rows.limit(2), out, share, "double", retries=0) == {"total": 2, "skipped": 0, "succeeded": 1, "failed": 1}
+    # a key with an error is done, a repeated key is taken once
+    assert incremental.run_annotator(spark, rows, out, share, "double", retries=1) == {"total": 4, "skipped": 3, "succeeded": 1, "failed": 0}
+    got = {r.key: (r.result, r.error) for r in spark.read.parquet(out).collect()}
+    assert got["a"] == (8.0, None) and got["c"] == (2.0, None) and got["b"][0] is None and got["b"][1].startswith("ZeroDivisionError")
+
+
+def test_sample_transforms_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, "x", None), (2, None, "y")], "__key__ int, a string, b string")
+    kept = sequencing.map_samples(rows, lambda s: None if s["a"] is None else {"c": s["a"] * 2}, "c string")
+    assert [tuple(r) for r in kept.collect()] == [(1, "xx")]
+    assert sequencing.map_samples(rows.limit(0), lambda s: s, "c string").count() == 0
+    assert [r.l for r in rows.select(sequencing.as_list(rows, ["b", "gone", "a"]).alias("l")).collect()] == [[None, None, "x"], ["y", None, None]]
+    assert sequencing.assign(rows, n=F.col("a").try_cast("int"), m=F.col("n").isNull()).select("m").distinct().first().m
+    mixed = sequencing.interleave(spark.range(20).withColumnRenamed("id", "k"), 4, "k", 3)
+    assert sorted(r.turn for r in mixed.collect()) == list(range(20))
+
+
+def test_json_is_canonical(spark):
+    texts = ['{"b": 1, "a": [1.0, "é"]}', "no json", None, "[]", '{"a": {"d": null, "c": true}}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.j for r in rows.select(tx.canonical_json(F.col("t")).alias("j")).collect()] == ['{"a":[1.0,"é"],"b":1}', None, None, "[]", '{"a":{"c":true,"d":null}}']
