@@ -1,9 +1,9 @@
 """Ranking metrics of queries against a gallery of labelled vectors.
 
-The query set is bounded (``MAX_QUERIES``, checked) and is sent to every task as one
-matrix; the gallery stays where it is and is scored in Arrow batches by one matrix
-product each. A batch gives at most its k best per query, so what is shuffled is k rows
-per query and batch, not all pairs.
+A stated query set meets all rows in blocks: both sides are packed into pages of some thousand
+vectors, each page of queries is scored against each of the gallery by one matrix product, and a
+pair of pages gives at most its k best per query. So what is shuffled is k rows per query and
+gallery page, not all pairs, and neither side passes through the driver or has to fit one task.
 """
 
 from __future__ import annotations
@@ -15,38 +15,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 20_000
+#: Vectors of a page: a pair of pages is a product of this many rows and columns.
+QUERY_PAGE, GALLERY_PAGE = 1024, 8192
+PAGE = "ids binary, labels binary, vectors binary"
+
+
+def _pages(rows: DataFrame, size: int, prefix: str) -> DataFrame:
+    """Rows (vec_id, embedding, label) packed: pages of at most ``size`` vectors."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), size):
+                part = b.iloc[i : i + size]
+                vectors = np.vstack(part["embedding"].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({"ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "labels": [part["label"].to_numpy(np.int32).tobytes()], "vectors": [vectors.tobytes()]})
+
+    packed = rows.select("vec_id", "embedding", "label").filter("embedding is not null").mapInPandas(pack, PAGE)
+    return packed.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("ids", "labels", "vectors")])
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """Both: vec_id, embedding, label. The k most similar gallery rows of each query by dot
     product, ties by vec_id, the query itself left out: query_id, query_label, doc_id, doc_label, sim, rank."""
-    held = queries.select("vec_id", "embedding", "label").limit(MAX_QUERIES + 1).toPandas()
-    if len(held) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
     schema = "query_id long, query_label int, doc_id long, doc_label int, sim double"
-    if held.empty:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    ids, labels = held["vec_id"].to_numpy(np.int64), held["label"].to_numpy(np.int32)
-    matrix = np.vstack(held["embedding"].to_numpy()).astype(np.float64)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if b.empty:
-                continue
-            docs, doc_labels = b["vec_id"].to_numpy(np.int64), b["label"].to_numpy(np.int32)
-            vectors = np.vstack(b["embedding"].to_numpy()).astype(np.float64)
-            for start in range(0, len(ids), 512):
-                sims = matrix[start : start + 512] @ vectors.T
-                own = ids[start : start + 512]
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                own, docs = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.g_ids, np.int64)
+                own_labels, doc_labels = np.frombuffer(r.q_labels, np.int32), np.frombuffer(r.g_labels, np.int32)
+                sims = np.frombuffer(r.q_vectors).reshape(len(own), -1) @ np.frombuffer(r.g_vectors).reshape(len(docs), -1).T
                 sims[own[:, None] == docs[None, :]] = -np.inf
                 take = min(k, sims.shape[1])
                 # ties at the edge of the k best are all kept; the rank below breaks them
                 edge = -np.partition(-sims, take - 1, axis=1)[:, take - 1]
                 q, d = np.nonzero((sims >= edge[:, None] - 1e-12) & np.isfinite(sims))
-                yield pd.DataFrame({"query_id": own[q], "query_label": labels[start + q], "doc_id": docs[d], "doc_label": doc_labels[d], "sim": sims[q, d]})
+                yield pd.DataFrame({"query_id": own[q], "query_label": own_labels[q], "doc_id": docs[d], "doc_label": doc_labels[d], "sim": sims[q, d]})
 
-    scored = gallery.select("vec_id", "embedding", "label").mapInPandas(score, schema)
+    pairs = _pages(gallery, GALLERY_PAGE, "g").crossJoin(_pages(queries, QUERY_PAGE, "q"))
+    scored = pairs.mapInPandas(score, schema)
     # rounding makes the order the same however a product was summed
     order = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

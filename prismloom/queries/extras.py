@@ -177,9 +177,7 @@ def resumed(spark, d):
 @q("tar_round_trip", "select id || '.txt' as fname, octet_length(encode(content)) as size from texts where content is not null", "SRC-10 SRC-11 SRC-14 SNK-4")
 def tar_round_trip(spark, d):
     """The captions of every language, and of none, written as tar shards and scanned again."""
-    from urllib.parse import urlparse
-
-    folder = urlparse(Workspace(spark, "tar").fresh("shards")).path
+    folder = Workspace(spark, "tar").fresh("shards")
     rows = table(spark, d, "texts").filter("content is not null").select(F.col("id").alias("key"), F.encode(F.lit("image"), "utf-8").alias("image"), F.col("content").alias("caption"))
     tar.write_tar(rows, folder).write.format("noop").mode("overwrite").save()
     return tar.member_index(tar.read_tar(spark, folder)).filter(F.col("fname").endswith(".txt")).select("fname", "size")

@@ -17,6 +17,15 @@ _HIDDEN = re.compile(r"__[^/]*__($|/)")
 MAGIC = (("89504E47", "png"), ("FFD8FF", "jpg"), ("47494638", "gif"), ("52494646", "webp"), ("424D", "bmp"), ("49492A00", "tiff"), ("4D4D002A", "tiff"))
 
 
+def _place(url: str):
+    """File system and path of a URL, or of a plain local path. Any store that Arrow knows will do."""
+    from pyarrow import fs
+
+    if ":/" not in url:
+        return fs.LocalFileSystem(), url
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", url))
+
+
 def read_tar(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
     """Regular members of the archives under ``path`` (a file, a folder or a glob), hidden
     ``__x__`` members left out. Each archive is streamed by one task; its file listing is what
@@ -24,13 +33,11 @@ def read_tar(spark: SparkSession, path: str, with_data: bool = True) -> DataFram
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar*").load(path).select("path")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import unquote, urlparse
-
         for batch in batches:
             for url in batch["path"]:
-                local = unquote(urlparse(url).path)
+                store, path = _place(url)
                 found, size = [], 0
-                with tarfile.open(local, "r|*") as archive:
+                with store.open_input_stream(path, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as archive:
                     for m in archive:
                         if not m.isreg() or ("/" not in m.name and m.name.startswith("__") and m.name.endswith("__")) or _HIDDEN.search(m.name):
                             continue
@@ -81,21 +88,21 @@ def write_tar(rows: DataFrame, folder: str, per_shard: int = 1000) -> DataFrame:
     placed = rows.filter("image is not null").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("ext", picture_ending(F.col("image")))
 
     def write(group: pd.DataFrame) -> pd.DataFrame:
-        import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
         shard = int(group["shard"].iloc[0])
         name = f"{folder}/shard-{shard:06d}.tar"
+        store, path = _place(name)
+        store.create_dir(path.rpartition("/")[0], recursive=True)
         # written aside and renamed, so that a task that runs twice leaves one whole shard
-        draft = f"{name}.{uuid.uuid4().hex}"
-        with tarfile.open(draft, "w") as archive:
+        draft = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as stream, tarfile.open(fileobj=stream, mode="w|") as archive:
             for r in group.sort_values("key").itertuples():
                 for ending, data in ((r.ext, r.image), ("txt", (r.caption or "").encode())):
                     info = tarfile.TarInfo(f"{r.key}.{ending}")
                     info.size = len(data)
                     archive.addfile(info, io.BytesIO(data))
-        os.replace(draft, name)
+        store.move(draft, path)
         return pd.DataFrame({"shard": [name], "n": [len(group)]})
 
     return placed.select("shard", "key", "image", "caption", "ext").groupBy("shard").applyInPandas(write, "shard string, n long")
