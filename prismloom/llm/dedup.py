@@ -126,14 +126,21 @@ def _first_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def match_part(new: pd.DataFrame, pages: pd.DataFrame, listed: int = 64) -> pd.DataFrame:
-    """The matches of one part. ``new``: place, h, ord, is_query, is_stored; ``pages``: vectors.
+    """``match_place`` for each place of one part."""
+    out: list[tuple] = []
+    for place, rows in new.groupby("place"):
+        out += match_place(int(place), rows, pages[pages["place"] == place] if len(pages) else pages, listed)
+    return pd.DataFrame(out, columns=["a", "b", "old", "upto"])
+
+
+def match_place(place: int, new: pd.DataFrame, pages: pd.DataFrame, listed: int) -> list[tuple]:
+    """The matches of a part at one place. ``new``: h, ord, is_query, is_stored; ``pages``: vectors.
     A query that meets a stored vector gives one row (old). Any other lists its neighbours of
     the same batch by their order, at most ``listed``; where there are others, ``upto`` is the order of
     the last one listed."""
     out: list[tuple] = []
     asked = new[new["is_query"].to_numpy(bool)]
     if len(asked):
-        place = int(asked["place"].iloc[0])
         queries = _matrix(asked["h"])
         open_ = np.ones(len(queries), bool)
         if len(pages):
@@ -167,7 +174,7 @@ def match_part(new: pd.DataFrame, pages: pd.DataFrame, listed: int = 64) -> pd.D
             keep = (_first_place(a, b) == place) | more[held_q] if len(a) else np.zeros(0, bool)
             last = dict(zip(held_q.tolist(), x_at[held_x].tolist(), strict=True))
             out += [(u.tobytes(), v.tobytes(), False, every[last[i]] if more[i] else None) for u, v, i in zip(a[keep], b[keep], held_q[keep].tolist(), strict=True)]
-    return pd.DataFrame(out, columns=["a", "b", "old", "upto"])
+    return out
 
 
 def decide(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -312,25 +319,26 @@ class DedupIndex:
         pages = self._worth_reading(vectors, n)
         flags = new.withColumn("is_query", F.lit(True)).withColumnRenamed("own", "is_stored")
         if not hot:
-            return self._meet(flags, pages, ["part", "place"])
+            return self._meet(flags, pages, ["part"])
         counts = F.create_map(*[F.lit(x) for p, (i, j) in hot.items() for x in (p, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")))])
         cold = ~F.col("part").isin(list(hot))
-        cool = self._meet(flags.filter(cold), pages.filter(cold), ["part", "place"])
+        cool = self._meet(flags.filter(cold), pages.filter(cold), ["part"])
         blocks = lambda name: F.explode(F.sequence(F.lit(0), counts[F.col("part")][name] - 1))
         own = lambda name, *by: F.pmod(F.xxhash64(*by), counts[F.col("part")][name]).cast("int")
         warm = flags.filter(~cold)
         asked = warm.withColumn("is_stored", F.lit(False)).withColumn("j", own("j", "h")).withColumn("i", blocks("i"))
         stored = warm.filter("is_stored").withColumn("is_query", F.lit(False)).withColumn("i", own("i", "h")).withColumn("j", blocks("j"))
         paged = pages.filter(~cold).withColumn("i", own("i", "vectors")).withColumn("j", blocks("j"))
-        return cool.unionByName(self._meet(asked.unionByName(stored), paged, ["part", "place", "i", "j"]))
+        return cool.unionByName(self._meet(asked.unionByName(stored), paged, ["part", "i", "j"]))
 
     def _meet(self, new: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
-        new = new.select(*by, "h", "ord", "is_query", "is_stored")
+        # by the bucket column alone: with another beside it, Spark would shuffle the stored pages as well
+        new = new.select(*by, "place", "h", "ord", "is_query", "is_stored")
         listed = self.listed
         if not self.state["vectors"]:
-            none = pd.DataFrame({"vectors": pd.Series(dtype=object)})
+            none = pd.DataFrame({"place": pd.Series(dtype="int64"), "vectors": pd.Series(dtype=object)})
             return new.groupBy(*by).applyInPandas(lambda group: match_part(group, none, listed), HITS)
-        return new.groupBy(*by).cogroup(pages.select(*by, "vectors").groupBy(*by)).applyInPandas(lambda group, held: match_part(group, held, listed), HITS)
+        return new.groupBy(*by).cogroup(pages.select(*by, "place", "vectors").groupBy(*by)).applyInPandas(lambda group, held: match_part(group, held, listed), HITS)
 
     # -- one batch -------------------------------------------------------------------
     def ingest(self, batch: DataFrame) -> DataFrame:
@@ -505,7 +513,7 @@ class DedupIndex:
 
     def _grow(self) -> None:
         """Split each bucket into four when they hold more than ``per_part`` vectors on the average."""
-        if self.size <= self.per_part << self.state["bits"] or self.state["bits"] >= 14:
+        if self.size <= self.per_part << self.state["bits"] or self.state["bits"] >= 12:
             return
         cells, marks, n, n_rows = self.cells, self.accepted, self.size, sum(self.state["rows"].values())
         pages = cells.read(self._gens("vectors")).filter("place = 0").select("vectors")

@@ -86,6 +86,14 @@ def test_index_opens_again(spark, tmp_path):
     again = dedup.DedupIndex(spark, path)
     assert again.size == index.size and b"\x01lost" not in {bytes(r.mark) for r in again.accepted.read(again._gens("rows")).collect()}
     assert duplicates(spark, again, late) == {i for i in greedy(rows + late) if i.startswith("z")}
+    # stored pages are read in their buckets: only the batch is shuffled
+    vectors = dedup.batch_rows(spark.createDataFrame(late, IMAGES)).filter("h is not null").groupBy("h").agg(F.min("ord").alias("ord"))
+    again.page = 1
+    plan = again.matches(vectors, 10_000)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scan = next(line for line in text.splitlines() if "vectors#" in line and "FileScan" in line)
+    assert "Bucketed: true" in scan and text.count("Exchange hashpartitioning(part") == 1, text
     again.drop()
     assert dedup.DedupIndex(spark, path).size == 0
 
@@ -148,11 +156,11 @@ def test_every_match_is_met():
         flips[i, rng.choice(256, 31 if i < 30 else 32, replace=False)] = 1
     b = np.packbits(np.unpackbits(a, axis=1) ^ flips, axis=1)
     every = [v.tobytes() for v in np.vstack([a, b])]
-    none = pd.DataFrame({"vectors": pd.Series(dtype=object)})
+    none = pd.DataFrame({"place": pd.Series(dtype="int64"), "vectors": pd.Series(dtype=object)})
     frames = [dedup.match_part(pd.DataFrame({"place": p, "h": every, "ord": every, "is_query": True, "is_stored": True}), none) for p in range(dedup.PLACES)]
     got = [(r.a, r.b) for f in frames for r in f.itertuples()]
     assert len(got) == len(set(got)) == 60 and len({frozenset(p) for p in got}) == 30
-    stored = pd.DataFrame({"vectors": [b"".join(v.tobytes() for v in b)]})
+    stored = pd.DataFrame({"place": range(dedup.PLACES), "vectors": [b"".join(v.tobytes() for v in b)] * dedup.PLACES})
     met = {r.a for p in range(dedup.PLACES) for r in dedup.match_part(pd.DataFrame({"place": p, "h": [v.tobytes() for v in a], "ord": every[:40], "is_query": True, "is_stored": True}), stored).itertuples() if r.old}
     assert len(met) == 30
 
