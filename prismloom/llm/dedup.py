@@ -14,8 +14,10 @@ is neither shuffled nor written again, but for merging generations of one size c
 vector once per class) and for splitting cells into more buckets as the index grows fourfold. A
 bucket with more than ``split`` vectors, as a hot cell gives, is compared block by block.
 
-A batch is decided in slices by rising order, each up to ``GROWTH`` times what the batch had
-before, so that of a large group of near-duplicates the first slice accepts one and all
+Rows are decided in slices by rising order, of up to ``SLICE`` rows, each of which is stored before the
+next. A large batch makes several slices; of a history that is fed as a whole, small batches in a row
+share one, so that a pass over the stored pages serves many rows. Where a sample shows a large group of
+near-duplicates, slices begin small and grow by ``GROWTH``, so that the first accepts one of the group and all
 later ones meet it as stored; no group is ever expanded into all its pairs. Within a slice a
 row lists at most ``listed`` neighbours a place; a row that these cannot decide goes on to the
 next slice, where it is compared again, so the limit loses nothing.
@@ -39,16 +41,22 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import id_key, key_text
 from ..plans.buckets import BucketedTable, even_codes
-from ..plans.storage import Workspace, read_note, write_note
+from ..plans.storage import Workspace, free_shuffles, read_note, write_note
 
 RADIUS = 31
 PLACES = 16
 #: Values at no bit and at one bit from a sub-vector: the cells a query probes in one place.
 FLIPS = np.array([0, *(1 << i for i in range(16))], np.int64)
-CHUNK = 2_000_000
+#: Queries and candidate pairs taken at a time, so that they stay in a core's cache; pairs held before lists are cut.
+BLOCK, CHUNK, HELD = 4096, 250_000, 1_000_000
 FIRST_SLICE, GROWTH = 20_000, 8
+#: Rows of a slice at most. A pass over the stored pages takes as long as comparing some 80,000 rows with them.
+SLICE = 160_000
+#: Rows of a sample in one cell from which a group is large.
+GROUP = 32
 #: Buckets of a new index; each growth splits all of them into four.
 CELL_BUCKETS, MARK_BUCKETS = PLACES // 2, 4
+#: ``slots`` is empty: the vectors tell them. Folders written before hold them.
 PAGES = "part int, place int, n int, lo int, hi int, slots binary, vectors binary"
 HITS = "a binary, b binary, old boolean, upto binary"
 ACCEPTED = "mark binary, key binary"
@@ -79,15 +87,14 @@ def _slot(vectors: np.ndarray, place: int) -> np.ndarray:
 
 
 class _Cells:
-    """Vectors sorted by their sub-vector at one place, with the start of each cell."""
+    """Vectors by their sub-vector at one place: their order, with the start of each cell."""
 
     def __init__(self, vectors: np.ndarray, place: int):
         slots = _slot(vectors, place)
-        self.order = np.argsort(slots.astype(np.uint16), kind="stable")
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=65536))])
-        self.vectors = vectors[self.order]
-        self.pairs = _neighbours(self.vectors, place)
-        self.words = self.vectors.view(np.uint64)
+        self.order = np.argsort(slots.astype(np.uint16), kind="stable").astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=65536))]).astype(np.int32)
+        self.pairs = _neighbours(vectors, place)[self.order]
+        self.words = vectors.view(np.uint64)
 
 
 def _neighbours(vectors: np.ndarray, place: int) -> np.ndarray:
@@ -96,26 +103,29 @@ def _neighbours(vectors: np.ndarray, place: int) -> np.ndarray:
 
 
 def _met(queries: np.ndarray, cells: _Cells, place: int):
-    """Chunks of (query, cell position) of all pairs within the radius that this place's probes meet."""
+    """Chunks of (query, vector) of all pairs within the radius that this place's probes meet."""
     slots, pairs, words = _slot(queries, place), _neighbours(queries, place), np.ascontiguousarray(queries).view(np.uint64)
-    want = (slots[:, None] ^ FLIPS[None, :]).ravel()
-    low = cells.starts[want]
-    counts = cells.starts[want + 1] - low
-    owner = np.repeat(np.arange(len(queries)), len(FLIPS))
-    cut = np.cumsum(counts)
-    start = 0
-    while start < len(counts):
-        stop = max(start + 1, int(np.searchsorted(cut, (cut[start - 1] if start else 0) + CHUNK, "right")))
-        c = counts[start:stop]
-        total = int(c.sum())
-        if total:
-            q = np.repeat(owner[start:stop], c)
-            x = np.repeat(low[start:stop] - (np.cumsum(c) - c), c) + np.arange(total)
-            near = np.bitwise_count(pairs[q] ^ cells.pairs[x]) <= 3
-            q, x = q[near], x[near]
+    by_slot = np.argsort(slots.astype(np.uint16), kind="stable")
+    for i in range(0, len(queries), BLOCK):
+        block = by_slot[i : i + BLOCK]
+        want = (slots[block][:, None] ^ FLIPS[None, :]).ravel()
+        low = cells.starts[want]
+        counts = cells.starts[want + 1] - low
+        owner = np.repeat(block, len(FLIPS))
+        owner, low, counts = (v[counts > 0] for v in (owner, low, counts))
+        cut = np.cumsum(counts, dtype=np.int64)
+        start = 0
+        while start < len(counts):
+            done = int(cut[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(cut, done + CHUNK, "right")))
+            c, ends, own = counts[start:stop], cut[start:stop] - done, owner[start:stop]
+            x = np.repeat((low[start:stop] - (ends - c)).astype(np.int32), c)
+            x += np.arange(len(x), dtype=np.int32)
+            near = np.flatnonzero(np.bitwise_count(cells.pairs[x] ^ np.repeat(pairs[own], c)) <= 3)
+            q, x = own[np.searchsorted(ends, near, "right")], cells.order[x[near]]
             near = np.bitwise_count(words[q] ^ cells.words[x]).sum(axis=1, dtype=np.int64) <= RADIUS
             yield q[near], x[near]
-        start = stop
+            start = stop
 
 
 def _first_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,31 +162,46 @@ def match_place(place: int, new: pd.DataFrame, pages: pd.DataFrame, listed: int)
         fresh = new[new["is_stored"].to_numpy(bool)]
         gone = set(asked["h"].to_numpy()[~open_])
         fresh = fresh[[h not in gone for h in fresh["h"]]] if gone else fresh
-        left, left_at = queries[open_], asked["ord"].to_numpy()[open_]
+        left = queries[open_]
         if len(left) and len(fresh):
-            cells = _Cells(_matrix(fresh["h"]), place)
-            # places in the batch's order, so that "earliest" is a comparison of numbers
-            every = np.array(sorted({*left_at, *fresh["ord"]}), object)
-            at = {o: i for i, o in enumerate(every)}
-            x_at = np.fromiter((at[o] for o in fresh["ord"]), np.int64, len(fresh))[cells.order]
-            held_q, held_x = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            more = np.zeros(len(left), bool)
-            for q, x in _met(left, cells, place):
-                apart = (left[q] != cells.vectors[x]).any(axis=1)
-                q, x = np.concatenate([held_q, q[apart]]), np.concatenate([held_x, x[apart]])
-                order = np.lexsort((x_at[x], q))
-                q, x = q[order], x[order]
-                nth = np.arange(len(q)) - np.searchsorted(q, q, "left")
-                more[q[nth >= listed]] = True
-                held_q, held_x = q[nth < listed], x[nth < listed]
-            a, b = left[held_q], cells.vectors[held_x]
+            vectors, fresh_at = _matrix(fresh["h"]), fresh["ord"].to_numpy()
+            q, x, more = _listed(left, vectors, fresh_at, place, listed)
+            a, b = left[q], vectors[x]
             # a pair is listed where it is met first; lists that are cut stay whole
-            keep = (_first_place(a, b) == place) | more[held_q] if len(a) else np.zeros(0, bool)
-            last = dict(zip(held_q.tolist(), x_at[held_x].tolist(), strict=True))
-            out += [(u.tobytes(), v.tobytes(), False, every[last[i]] if more[i] else None) for u, v, i in zip(a[keep], b[keep], held_q[keep].tolist(), strict=True)]
+            keep = (_first_place(a, b) == place) | more[q] if len(a) else np.zeros(0, bool)
+            last = dict(zip(q.tolist(), x.tolist(), strict=True))
+            out += [(u.tobytes(), v.tobytes(), False, fresh_at[last[i]] if more[i] else None) for u, v, i in zip(a[keep], b[keep], q[keep].tolist(), strict=True)]
     return out
 
 
+def _listed(queries: np.ndarray, vectors: np.ndarray, at: np.ndarray, place: int, listed: int):
+    """Pairs (query, vector) of unequal vectors, for each query the ``listed`` first ones by rising ``at``
+    of the vector; and which queries have others."""
+    more = np.zeros(len(queries), bool)
+    q, x = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    new: list[tuple] = []
+
+    def cut():
+        every_q, every_x = (np.concatenate(v) for v in zip((q, x), *new, strict=True))
+        met, back = np.unique(every_x, return_inverse=True)
+        rank = np.empty(len(met), np.int64)
+        rank[sorted(range(len(met)), key=lambda i: at[met[i]])] = np.arange(len(met))
+        order = np.lexsort((rank[back], every_q))
+        every_q, every_x = every_q[order], every_x[order]
+        nth = np.arange(len(every_q)) - np.searchsorted(every_q, every_q, "left")
+        more[every_q[nth >= listed]] = True
+        return every_q[nth < listed], every_x[nth < listed]
+
+    for some_q, some_x in _met(queries, _Cells(vectors, place), place):
+        apart = (queries[some_q] != vectors[some_x]).any(axis=1)
+        if apart.any():
+            new.append((some_q[apart], some_x[apart]))
+            if sum(len(v) for v, _ in new) > HELD:
+                q, x = cut()
+                new = []
+    return *(cut() if new else (q, x)), more
+
+
 def decide(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
     """Rows (ord, f, h) of one slice in their order, by their ``links`` (HITS): accepted (1), duplicate
     (0) or left for the next slice (2), which befalls a row whose listed neighbours cannot tell."""
@@ -210,21 +235,24 @@ def decide(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
 def pack_pages(place: int, part: int, vectors: np.ndarray, size: int) -> list[tuple]:
     slots = _slot(vectors, place)
     order = np.argsort(slots, kind="stable")
-    slots, vectors = slots[order].astype(np.uint16), vectors[order]
-    return [(part, place, len(s), int(s[0]), int(s[-1]), s.tobytes(), v.tobytes()) for i in range(0, len(slots), size) for s, v in [(slots[i : i + size], vectors[i : i + size])]]
+    slots, vectors = slots[order], vectors[order]
+    return [(part, place, len(s), int(s[0]), int(s[-1]), b"", v.tobytes()) for i in range(0, len(slots), size) for s, v in [(slots[i : i + size], vectors[i : i + size])]]
 
 
 class DedupIndex:
     """Accepted images in the folder ``path``: pages of vector cells, file hashes and a manifest."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, per_part: int = 1_000_000, split: int = 2_000_000, page: int = 16_384, merge: int = 8, finish: int = 2 * FIRST_SLICE, listed: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, per_part: int = 1_000_000, split: int = 2_000_000, page: int = 16_384, merge: int = 8, finish: int = 2 * FIRST_SLICE, listed: int = 64, expected: int = 0):
         """``per_part`` vectors are held by a bucket before cells are split into more of them; see the
         module for ``split``. ``page`` is the number of vectors of a page, ``merge`` the number of generations
-        of a size class that become one, ``finish`` how many tied rows one task decides at a time."""
+        of a size class that become one, ``finish`` how many tied rows one task decides at a time. A new index is laid out for
+        ``expected`` vectors, so that it need not be split while they come."""
         self.spark, self.per_part, self.split, self.page, self.merge, self.finish, self.listed = spark, per_part, split, page, merge, finish, listed
         self.space = Workspace(spark, "dedup", path)
         self._note = f"{self.space.path}/manifest.json"
         self.state = read_note(spark, self._note) or {"bits": 0, "layout": 0, "next": 1, "vectors": {}, "rows": {}}
+        while self.state["next"] == 1 and expected > per_part << self.state["bits"] and self.state["bits"] < 12:
+            self.state["bits"] += 2
         self._open_tables()
 
     def _open_tables(self) -> None:
@@ -265,7 +293,7 @@ class DedupIndex:
     def _stored(self, vectors: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """(part, place, h): each vector once a place, in the bucket of its cell."""
         rows = vectors.select("h", *keep, F.explode(F.array(*[F.lit(p) for p in range(PLACES)])).alias("place"))
-        slot = self._slot_of(F.col("place")) if self.state["bits"] else F.lit(0)
+        slot = self._slot_of(F.col("place")) if self.state["bits"] > 1 else F.lit(0)
         return rows.select(self._part(slot).alias("part"), "place", "h", *keep)
 
     def _asked(self, vectors: DataFrame) -> DataFrame:
@@ -276,7 +304,8 @@ class DedupIndex:
         rows = vectors.select("h", "ord", F.explode(F.array(*[F.lit(p) for p in range(PLACES)])).alias("place"))
         near = F.explode(F.array(*[F.lit(0), *[F.lit(1 << (15 - i)) for i in range(bits - 1)]]))
         rows = rows.withColumn("flip", near).withColumn("slot", self._slot_of(F.col("place")).bitwiseXOR(F.col("flip")))
-        return rows.select(self._part(F.col("slot")).alias("part"), "place", "h", "ord", (F.col("flip") == 0).alias("own"))
+        own = F.col("flip") == 0  # the order counts only where a vector is met, not where it asks
+        return rows.select(self._part(F.col("slot")).alias("part"), "place", "h", F.when(own, F.col("ord")).alias("ord"), own.alias("own"))
 
     def _worth_reading(self, vectors: DataFrame, n: int) -> DataFrame:
         """Stored pages; for a batch of few vectors those with a cell that one of its probes visits,
@@ -361,7 +390,7 @@ class DedupIndex:
         space = Workspace(self.spark, "slices")
         # all that share both hashes with an earlier row fall with it, whatever becomes of that row
         first = rows.filter("f is not null or h is not null").groupBy("f", "h").agg(F.min("ord").alias("ord"))
-        first = self._unknown(first.select("ord", "f", "h"))
+        first = self._unknown(first.select("ord", "f", "h"), n <= SLICE)
         bounds: list = [None]
         if n > 2 * FIRST_SLICE:
             first, n = self._kept(space, first, "first")
@@ -376,12 +405,15 @@ class DedupIndex:
             waiting = self._slice(space, self._unknown(waiting), None)
         space.drop()
 
-    def _unknown(self, rows: DataFrame) -> DataFrame:
+    def _unknown(self, rows: DataFrame, few: bool = False) -> DataFrame:
         """Rows (ord, f, h) whose file hash is not among the accepted ones."""
         if not self.state["rows"]:
             return rows
+        rows = rows.withColumn("mark", self._mark(F.col("f"), F.col("ord")))
         held = self.accepted.read(self._gens("rows")).select("mark")
-        return rows.withColumn("mark", self._mark(F.col("f"), F.col("ord"))).join(held, "mark", "left_anti").select("ord", "f", "h")
+        if few:  # the marks of a slice go to the stored ones, which are read once and neither sorted nor moved
+            held = held.join(F.broadcast(rows.select("mark")), "mark", "left_semi")
+        return rows.join(held, "mark", "left_anti").select("ord", "f", "h")
 
     @staticmethod
     def _kept(space: Workspace, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -393,13 +425,18 @@ class DedupIndex:
 
     @staticmethod
     def _slices(first: DataFrame, n: int) -> list[bytearray | None]:
-        """Upper bounds (of ord, the last is open) of the slices of a batch with ``n`` rows, from a
-        sample of some ten thousand keys; a slice's size is a matter of effort alone."""
-        held = sorted(bytes(r.ord) for r in first.filter(F.pmod(F.xxhash64("ord"), F.lit(max(1, n // 10_000))) == 0).select("ord").collect())
-        bounds, taken = [], FIRST_SLICE
+        """Upper bounds (of ord, the last is open) of the slices of ``n`` rows, from a
+        sample of some ten thousand rows; a slice's size is a matter of effort alone."""
+        sample = first.filter(F.pmod(F.xxhash64("ord"), F.lit(max(1, n // 10_000))) == 0).select("ord", "h").collect()
+        held = sorted(bytes(r.ord) for r in sample)
+        vectors = _matrix([bytes(r.h) for r in sample if r.h is not None])
+        loads = [np.bincount(_slot(vectors, p)).max() for p in range(PLACES)] if len(vectors) else [0]
+        taken = step = FIRST_SLICE if max(loads) > min(GROUP, FIRST_SLICE // 20) else SLICE
+        bounds = []
         while taken < n and held:
             bounds.append(bytearray(held[min(len(held) - 1, len(held) * taken // n)]))
-            taken += GROWTH * taken
+            step = min(SLICE, GROWTH * taken)
+            taken += step
         return [*bounds, None]
 
     @staticmethod
@@ -416,7 +453,9 @@ class DedupIndex:
         free = late = None
         if n > self.finish:
             # rows without any tie are accepted as they are, of the others the first ``finish`` are decided now
-            links = space.keep(links, "links")
+            links, n_links = self._kept(space, links, "links")
+            free_shuffles(self.spark)
+        if n > self.finish and n + n_links > 10 * self.finish:
             rows = rows.join(links.filter("old").select(F.col("a").alias("h")).distinct(), "h", "left_anti").select("ord", "f", "h")
             links = links.filter("not old")
             several = lambda c: rows.filter(f"{c} is not null").groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(c)
@@ -428,7 +467,7 @@ class DedupIndex:
                 bound = F.lit(rows.orderBy("ord").limit(self.finish).agg(F.max("ord")).first()[0])
                 rows, late = rows.filter(F.col("ord") <= bound), rows.filter(F.col("ord") > bound)
             links = links.join(rows.select(F.col("h").alias("a")).distinct(), "a", "left_semi").select("a", "b", "old", "upto")
-        # one task: at most ``finish`` rows, and of each at most ``listed`` links a place
+        # one task: at most ``finish`` rows, and of each at most ``listed`` links a place; or few links of one slice
         one = lambda rows: rows.withColumn("one", F.lit(True)).groupBy("one")
         told = one(rows).cogroup(one(links)).applyInPandas(decide, "ord binary, f binary, h binary, state int")
         seen = Observation()
@@ -486,13 +525,18 @@ class DedupIndex:
         self.cells.append(self._stored(vectors).groupBy("part", "place", pieces.alias("piece")).applyInPandas(pack, PAGES), gen)
 
     def _merge(self, kind: str) -> None:
-        """Generations of one size class become one when there are ``merge`` of them."""
+        """Generations of one size class become one when there are ``merge`` of them; not more at once than a
+        slice or a quarter of the index holds (but two at least), as old and new ones are both on disk for a while."""
         classes: dict[int, list[int]] = {}
         for g, n in self.state[kind].items():
             classes.setdefault(int(np.log(max(n, 1)) / np.log(self.merge)), []).append(int(g))
-        full = max(classes.values(), key=len, default=[])
-        if len(full) < self.merge:
+        # generations of whole slices are few beside their size, so more of them wait
+        due = [gens for c, gens in classes.items() if len(gens) >= self.merge * (4 if self.merge**c >= SLICE // self.merge else 1)]
+        full = max(due, key=len, default=[])
+        if not full:
             return
+        held = np.cumsum([self.state[kind][str(g)] for g in full])
+        full = full[: max(2, int(np.searchsorted(held, max(SLICE, sum(self.state[kind].values()) // 4), "right")))]
         n, gen = sum(self.state[kind][str(g)] for g in full), self._generation()
         if kind == "rows":
             self.accepted.append(self.accepted.read(full).repartition(self.accepted.buckets, "mark"), gen)
@@ -545,16 +589,29 @@ def batch_rows(images: DataFrame) -> DataFrame:
     return rows.select("key", "b", F.concat(number, F.col("key")).alias("ord"), "f", "h")
 
 
+def units(sizes: dict[int, int]) -> list[list[int]]:
+    """Batches in their order, those in a row together as far as they fill a slice. ``sizes``: rows by batch."""
+    out: list[list[int]] = []
+    held = 0
+    for no in sorted(sizes):
+        if not out or held + sizes[no] > SLICE:
+            out.append([])
+            held = 0
+        out[-1].append(no)
+        held += sizes[no]
+    return out
+
+
 def ingest_history(spark: SparkSession, images: DataFrame, path: str | None = None, **layout) -> DataFrame:
-    """Feed all batches one after the other, each stored before the next; (id) of the duplicates.
+    """Feed all batches in their order, small ones in a row together, and store each slice before the next; (id) of the duplicates.
     With ``path`` the index stays there and can be opened again; else it is deleted at the end."""
-    index = DedupIndex(spark, path, **layout)
     space = Workspace(spark, "history")
-    rows = batch_rows(images).repartitionByRange("b", "key").withColumn("batch", F.coalesce("b", F.lit(-(2**31))))
-    rows = space.keep(rows, "rows", ["batch"])
+    rows = batch_rows(images).select("ord", "f", "h", F.coalesce("b", F.lit(-(2**31))).alias("batch")).hint("rebalance", F.col("batch"))
+    rows = space.keep(rows, "rows", ["batch"]).withColumn("key", F.substring("ord", F.lit(6), F.octet_length("ord")))
     sizes = {r.batch: r.n for r in rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per batch
-    for no in sorted(sizes):
-        index.ingest_rows(rows.filter(F.col("batch") == no).drop("batch"), sizes[no])
+    index = DedupIndex(spark, path, **{"expected": sum(sizes.values())} | layout)
+    for unit in units(sizes):
+        index.ingest_rows(rows.filter(F.col("batch").isin(unit)).drop("batch"), sum(sizes[no] for no in unit))
     found = index.decided(rows).filter("not accepted").select(key_text(F.col("key")).alias("id"))
     found = space.keep(found, "found")
     index.drop() if path is None else index.close()

@@ -72,6 +72,12 @@ def write_note(spark: SparkSession, path: str, note: dict) -> None:
         raise OSError(f"could not write {path}")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over, which else stay until the driver happens to
+    collect its garbage."""
+    spark._jvm.System.gc()
+
+
 class Workspace:
     """A private folder under the shared root for the tables of one run."""
 

@@ -133,6 +133,29 @@ def test_one_group_of_near_duplicates_lists_few_pairs(spark):
     assert found(spark, rows, listed=3) == greedy(rows)
 
 
+def test_small_batches_share_a_pass(spark, monkeypatch):
+    """A history in many small batches passes over the stored pages once a slice, not once a batch, and is decided alike."""
+    passes = []
+    meet = dedup.DedupIndex.matches
+    monkeypatch.setattr(dedup.DedupIndex, "matches", lambda index, vectors, n: passes.append(n) or meet(index, vectors, n))
+    monkeypatch.setattr(dedup, "SLICE", 100)
+    rows = hashes(11, 240, 20, batches=25)
+    assert found(spark, rows) == greedy(rows)
+    assert len(passes) == 3
+    assert dedup.units({3: 60, 1: 50, 2: 50, 4: 500, 5: 1}) == [[1, 2], [3], [4], [5]]
+
+
+def test_index_laid_out_ahead_and_split_later(spark):
+    """An index for many expected vectors has its buckets from the start; batches fed one by one split theirs. Ties are put off."""
+    rows = hashes(4, 120, 10, batches=3)
+    assert found(spark, rows, per_part=20, finish=12, expected=100) == greedy(rows)
+    index = dedup.DedupIndex(spark, per_part=8, merge=2, expected=30)
+    assert index.state["bits"] == 2 and index.parts == 4 * dedup.CELL_BUCKETS
+    assert set().union(*(duplicates(spark, index, [r for r in rows if r[1] == b]) for b in (1, 2))) == greedy(rows)
+    assert index.state["bits"] == 4
+    index.drop()
+
+
 def test_dedup_odd_rows(spark):
     h = bytes(32)
     near = bytes([0xFF, 0xFF, 0xFF, 0x7F]) + bytes(28)
